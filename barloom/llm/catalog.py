@@ -1,13 +1,17 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
-from . import mixing, rules, sharding
+from . import counts, decontaminate, mixing, packing, rules, sharding
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op2_suffix_decontamination": decontaminate.op2_suffix_decontamination,
     "op3_minimax_shards": sharding.op3_minimax_shards,
+    "op4_packed_tokens": packing.op4_packed_tokens,
+    "op9_trie_token_counts": counts.op9_trie_token_counts,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 SQL = {
     "op1_source_mixing": mixing.SQL1,
+    "op2_suffix_decontamination": decontaminate.SQL2,
     "op10_quality_rules": rules.SQL10,
 }
