@@ -1,17 +1,20 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
-from . import counts, decontaminate, mixing, packing, rules, sharding
+from . import arc, classifier, counts, decontaminate, mixing, packing, rules, sharding
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op2_suffix_decontamination": decontaminate.op2_suffix_decontamination,
     "op3_minimax_shards": sharding.op3_minimax_shards,
     "op4_packed_tokens": packing.op4_packed_tokens,
+    "op5_arc_to_warc": arc.op5_arc_to_warc,
+    "op8_factorisation_quality": classifier.op8_factorisation_quality,
     "op9_trie_token_counts": counts.op9_trie_token_counts,
     "op10_quality_rules": rules.op10_quality_rules,
 }
 SQL = {
     "op1_source_mixing": mixing.SQL1,
     "op2_suffix_decontamination": decontaminate.SQL2,
+    "op5_arc_to_warc": arc.SQL5,
     "op10_quality_rules": rules.SQL10,
 }
