@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_R
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).where(learn)
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("int").alias("_label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)  # the bound of what is broadcast and gathered
-    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    n_chars = F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     found = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), n_chars.alias("_chars"))
     found = found.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
     got = found.select("_doc", "_text", "_chars", "_label", "_id").mapInArrow(_rows(doc_id), "label int, slots binary, vals binary, stats binary").orderBy(F.xxhash64("slots", "stats")).limit(2 * rows).collect()
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_R
 def scored(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc id, score) of every row: 0 to 1, higher where label 1 is likelier. Null and empty texts have zeros as features."""
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(machine))
-    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    n_chars = F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Machine = pickle.loads(sent.value)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import through_table
 
 #: Words of a window, and of a shard's suffix array (one text may be longer).
 WINDOW = 10
@@ -231,36 +232,55 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[lis
         yield ids, texts
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str, window: int) -> list[list]:
+    """The benchmark as broadcast blocks, so many a pass."""
+    passes: list[list] = [[]]
+    for block in _blocks(benchmark, item_id, text):
+        if len(passes[-1]) == PASS_BLOCKS:
+            passes.append([])
+        passes[-1].append(docs.sparkSession.sparkContext.broadcast(pickle.dumps((*block, window))))
+    return passes
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, items (ids as strings, sorted), longest_match (words), match_place (its first word).
 
     Null and empty texts have no words and no hits; items without words match nothing; repeated rows are judged alike;
     no rows give no rows. ``longest_match`` is the longest verbatim run of which the one location that each suffix
     reports lies in this text. At most ``PASS_BLOCKS`` blocks of the benchmark are searched in one pass over the texts;
-    a larger benchmark takes more passes, each of which is checkpointed with the words hit so far.
+    a larger benchmark takes more passes, each of which is written to the shared folder with the words hit so far.
     """
-    context = docs.sparkSession.sparkContext
     kind = docs.schema[doc_id].dataType.simpleString()
-    passes: list[list] = [[]]
-    for block in _blocks(benchmark, item_id, text):
-        if len(passes[-1]) == PASS_BLOCKS:
-            passes.append([])
-        passes[-1].append(context.broadcast(pickle.dumps((*block, window))))
+    passes = _passes(docs, benchmark, item_id, text, window)
     now = docs.select(F.col(doc_id).alias("doc_id"), text)
     for sent in passes[:-1]:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(docs.sparkSession.conf.get("spark.checkpoint.dir"))
-        now = now.mapInArrow(_scanner(sent, True), f"doc_id {kind}, _text string, _hits array<long>, items array<string>, longest_match long, match_place long").checkpoint()
+        schema = f"doc_id {kind}, _text string, _hits array<long>, items array<string>, longest_match long, match_place long"
+        now = through_table(now.mapInArrow(_scanner(sent, True), schema), "pass")
     return now.mapInArrow(_scanner(passes[-1], False), f"doc_id {kind}, {_FOUND}")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their own columns, in which no benchmark window occurs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with their own columns, in whose text no benchmark window occurs.
 
-    Rows go by their id: of rows that share one, all go if any is contaminated.
+    Rows are judged where they are read and dropped there, a pass after the other; nothing is joined or shuffled.
     """
-    bad = contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("_bad")), "left_anti")
+
+    def keep(sent: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            several = [Items(*pickle.loads(s.value)) for s in sent]
+            for batch in batches:
+                data, off = W.buffers(batch.column(text))
+                for a, b, part, cut in W.chunks(data, off, SHARD_BYTES):
+                    shard = Shard(part, cut)
+                    for items in several:
+                        shard.look_for(items)
+                    yield batch.slice(a, b - a).filter(pa.array(shard.n_hit() == 0))
+
+        return run
+
+    for sent in _passes(docs, benchmark, item_id, text, window):
+        docs = docs.mapInArrow(keep(sent), docs.schema)
+    return docs
 
 
 def op2_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

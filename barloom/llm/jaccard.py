@@ -278,7 +278,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def first_of_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; of rows that repeat one id, all or none."""
     found = jaccard_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(F.col("_later")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_later"]), "left_anti")
 
 
 def op6_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

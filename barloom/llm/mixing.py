@@ -64,19 +64,20 @@ def period_schedule(spark: SparkSession, shares: dict[str | None, int]) -> DataF
 
 
 def mix(docs: DataFrame, shares: dict[str | None, int], block_docs: int = BLOCK_DOCS, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Every row of ``docs`` with its ``block`` in its source, ``release``, ``deadline``, ``slot`` and ``place`` in the block.
+    """Every row's doc_id and source with its ``block`` in the source, ``release``, ``deadline``, ``slot`` and ``place`` in the block.
 
-    Sorted by (slot, place) the rows are the mixture. Within a source, rows follow a hash of their id, so repeated rows
+    Sorted by (slot, place) the rows are the mixture. Other columns are left aside. Within a source, rows follow a hash of their id, so repeated rows
     stay apart rows. A null source is a source of its own. A source without a share is refused: nothing is dropped.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"))
+    doc_id, source = "doc_id", "source"
     n = docs.count()
     unknown = docs.select(source).distinct().limit(MAX_PERIOD + 1).collect()
     if missing := [r[0] for r in unknown if r[0] not in shares]:
         raise ValueError(f"sources without a share: {missing[:5]}")
     schedule = period_schedule(spark, shares).withColumnRenamed("source", "_source")
     mixed = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
-    kept = docs.columns
     ranked = ranks.numbered(docs, source, mixed, [doc_id], "_rank", ranks.bucket_count(n))
     ranked = ranked.withColumn("block", F.expr(f"_rank div {block_docs}")).withColumn("place", F.expr(f"cast(_rank % {block_docs} AS int)"))
     share = F.broadcast(schedule.select(F.col("_source").alias("_s"), F.col("share").alias("_share"), F.col("period").alias("_period")).distinct())
@@ -84,7 +85,8 @@ def mix(docs: DataFrame, shares: dict[str | None, int], block_docs: int = BLOCK_
     ranked = ranked.withColumn("_turn", F.expr("cast(block % _share AS int)"))
     joined = ranked.join(F.broadcast(schedule.select("_source", "turn", "slot")), F.col(source).eqNullSafe(F.col("_source")) & (F.col("_turn") == F.col("turn")))
     return joined.select(
-        *kept,
+        doc_id,
+        source,
         "block",
         F.expr("(block * _period) div _share").alias("release"),
         F.expr("((block + 1) * _period + _share - 1) div _share").alias("deadline"),
@@ -99,11 +101,12 @@ def mixed_order(docs: DataFrame, shares: dict[str | None, int] | None = None, bl
     Only ids and sources are scheduled; the texts are joined to their slots and sorted once.
     """
     shares = tempered_shares(docs) if shares is None else shares
-    placed = mix(docs.select("doc_id", "source"), shares, block_docs).select(F.col("doc_id").alias("_id"), F.col("slot").alias("_slot"), F.col("place").alias("_place"))
-    placed = placed.groupBy("_id").agg(F.min(F.struct("_slot", "_place", "_id")).alias("_at"))  # rows that repeat an id stay together
-    joined = docs.join(placed, docs.doc_id.eqNullSafe(F.col("_id")))
+    placed = mix(docs, shares, block_docs).select(F.col("doc_id").alias("_id"), "slot", "place")
+    placed = placed.groupBy("_id").agg(F.min(F.struct("slot", "place", "_id")).alias("_at"))  # rows that repeat an id stay together
+    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"))
+    joined = held.join(placed, F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", "_at")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "_at").sortWithinPartitions("_at").select(*[F.col(c) for c in docs.columns])
+    return joined.repartitionByRange(n, "_at").sortWithinPartitions("_at").select("_row.*")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,9 +103,9 @@ RULES = [
 ]
 
 
-def _metric_of(df: DataFrame, text: str, words: str) -> Callable[[str], Column]:
-    """A metric's column if the table has one, else its expression over the text."""
-    return lambda name: F.col(name) if name in df.columns else METRICS[name](F.col(text), F.col(words))
+def _metric_of(counted: list[str], text: str, words: str) -> Callable[[str], Column]:
+    """A metric's column if it is one of the counted ones, else its expression over the text."""
+    return lambda name: F.col(name) if name in counted else METRICS[name](F.col(text), F.col(words))
 
 
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
@@ -121,7 +121,7 @@ def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", sample_row
         rows = sample.count()
         if not rows:
             return list(rules)
-        metric = _metric_of(sample, text, "_words")
+        metric = _metric_of([], text, "_words")
 
         def run(what: Column) -> tuple[float, int]:
             best, hit = float("inf"), 0
@@ -141,12 +141,12 @@ def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", sample_row
         sample.unpersist()
 
 
-def cascade(df: DataFrame, rules: list[Rule], text: str = "text", words: str = "_words") -> DataFrame:
+def cascade(df: DataFrame, rules: list[Rule], text: str = "text", words: str = "_words", counted: list[str] | None = None) -> DataFrame:
     """``df`` with ``failed_rule``: the first rule, in the given order, that rejects the row, else null.
 
-    ``words`` names an array column of the text's words (see ``with_words``).
+    ``words`` names an array column of the text's words (see ``with_words``), ``counted`` columns that hold metrics.
     """
-    metric = _metric_of(df, text, words)
+    metric = _metric_of(counted or [], text, words)
     verdict = F.lit(None).cast("string")
     for rule in reversed(rules):
         verdict = F.when(F.coalesce(rule.reject(metric), F.lit(False)), F.lit(rule.name)).otherwise(verdict)
@@ -154,9 +154,13 @@ def cascade(df: DataFrame, rules: list[Rule], text: str = "text", words: str = "
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The documents that no rule rejects, with their own columns. Null and empty texts have too few words and go."""
-    ordered = order_rules(docs.select(text), rules or RULES, text, sample_rows)
-    return cascade(with_words(docs, text), ordered, text).where("failed_rule IS NULL").select(*docs.columns)
+    """The rows of ``docs`` that no rule rejects, with their own columns, whatever these are called.
+
+    Null and empty texts have too few words and go; rows that repeat are judged alike; no rows give no rows.
+    """
+    ordered = order_rules(docs, rules or RULES, text, sample_rows)
+    held = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    return cascade(with_words(held, "_text"), ordered, "_text").where("failed_rule IS NULL").select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +170,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = with_words(docs)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     counted = split.withColumns({k: METRICS[k](F.col("text"), F.col("_words")) for k in base})
-    judged = cascade(counted, ordered)
-    metric = _metric_of(counted, "text", "_words")
+    judged = cascade(counted, ordered, counted=base)
+    metric = _metric_of(base, "text", "_words")
     failed = BASE_RULES[0].reject(metric) | BASE_RULES[1].reject(metric)
     return judged.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("failed_rule").isNull()).alias("kept"))
 
