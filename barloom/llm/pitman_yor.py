@@ -11,7 +11,7 @@ it, with their counts and the texts they stand in, and each word partition likew
 partition seats its restaurants, sends the tables per word to the partitions of the parent, gets the parent's counts
 back for just its words, seats again and returns sums per text to the batch. Everything that is sent follows the input;
 no model is gathered anywhere. A context with more than ``HOT_SHARE`` of all words, by counters of fixed size, is dealt
-over all partitions by the word, and only its two totals are exchanged. Restaurants of one sweep are seated at once, given
+over all partitions by the word; its samples are drawn in the first sweep, and only its totals are exchanged. Restaurants of one sweep are seated at once, given
 the totals of the sweep before; the parent is seated once, after the first sweep.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, one end token closes each text, null texts are empty. The plain
@@ -180,18 +180,32 @@ class Tables:
         self.customers = np.bincount(pair, np.concatenate([x[4] for x in loaded]), len(kinds)).astype(np.int64)
         cuts = np.cumsum([0, *(len(x[3]) for x in loaded)])
         self.entries = [(np.repeat(pair[a:b], x[5]), x[6], x[7]) for a, b, x in zip(cuts[:-1], cuts[1:], loaded, strict=True)]
-        self.hot = np.flatnonzero(hot[(self.contexts >> np.uint64(64 - COUNT_BITS)).astype(np.int64)])
+        is_hot = hot[(self.contexts >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+        self.hot = np.flatnonzero(is_hot)
+        self.hot_pairs = np.flatnonzero(is_hot[self.u])
 
     def totals(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.bincount(self.u, self.customers, len(self.contexts)), np.bincount(self.u, tables, len(self.contexts))
 
-    def first_sweep(self, seed: int) -> np.ndarray:
-        """Tables by a parent that is guessed from this partition's own counts."""
+    def first_sweep(self, seed: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tables, tables of the hot contexts' pairs by sample) by a parent that is guessed from this partition's counts.
+
+        A hot context's partitions cannot hear of each other's later seatings, so its samples are drawn here, and its
+        totals are exchanged for each.
+        """
         tables = np.minimum(self.customers, 1)
         guess = np.bincount(self.w, tables, len(self.words)) + 0.5
         guess /= guess.sum()
         _, total = self.totals(tables)
-        return seat(self.customers, guess[self.w], total[self.u] - tables, STRENGTH, DISCOUNT, np.random.default_rng([seed, 1]))
+        rest = total[self.u] - tables
+        tables = seat(self.customers, guess[self.w], rest, STRENGTH, DISCOUNT, np.random.default_rng([seed, 1]))
+        h = self.hot_pairs
+        draws = [seat(self.customers[h], guess[self.w[h]], rest[h], STRENGTH, DISCOUNT, np.random.default_rng([seed, 4, s])) for s in range(samples)]
+        return tables, np.array(draws, np.int64).reshape(samples, len(h))
+
+    def hot_totals(self, draws: np.ndarray) -> np.ndarray:
+        """Tables of the hot contexts, in the order of ``hot``, by sample."""
+        return np.array([np.bincount(self.u[self.hot_pairs], x, len(self.contexts))[self.hot] for x in draws], np.int64).reshape(len(draws), len(self.hot))
 
 
 def _table_rows(table: pa.Table) -> list[tuple[int, bytes]]:
@@ -256,16 +270,18 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
         if me >= parts:
             return pa.table({"to": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         own_ = Tables(_table_rows(table), np.unpackbits(sent.value).astype(bool))
-        tables = own_.first_sweep(me)
-        customers, total = own_.totals(tables)
+        tables, draws = own_.first_sweep(me, samples)
+        customers, _ = own_.totals(tables)
+        total = own_.hot_totals(draws)
         per_word = np.bincount(own_.w, tables, len(own_.words)).astype(np.uint32)
         out = []
         word_cut = np.searchsorted(_part(own_.words, parts), np.arange(parts + 1))  # parts follow the hashes' order
         hot_part = _part(own_.contexts[own_.hot], parts)
         for q in range(parts):
             a, b = word_cut[q], word_cut[q + 1]
-            h = own_.hot[hot_part == q]
-            out.append(dump(_short(own_.words[a:b]), per_word[a:b], _short(own_.contexts[h]), customers[h].astype(np.int64), total[h].astype(np.int64)))
+            its = hot_part == q
+            h = own_.hot[its]
+            out.append(dump(_short(own_.words[a:b]), per_word[a:b], _short(own_.contexts[h]), customers[h].astype(np.int64), *(x[its] for x in total)))
         return pa.table({"to": pa.array(np.arange(parts, dtype=np.int32)), "part": pa.array(np.full(parts, me, np.int32)), "blob": pa.array(out, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
@@ -282,13 +298,13 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
             tables = seat(customers, np.full(len(words), 1 / (1 + vocabulary * parts)), rest, ROOT_STRENGTH, ROOT_DISCOUNT, np.random.default_rng([me, 2, sweep]))
         contexts, u = np.unique(np.concatenate([_long(x[2]) for x in got]), return_inverse=True)
         hot_customers = np.bincount(u, np.concatenate([x[3] for x in got]), len(contexts)).astype(np.int64)
-        hot_tables = np.bincount(u, np.concatenate([x[4] for x in got]), len(contexts)).astype(np.int64)
+        hot_tables = [np.bincount(u, np.concatenate([x[4 + s] for x in got]), len(contexts)).astype(np.int64) for s in range(samples)]
         sums = np.array([customers.sum(), tables.sum(), vocabulary], np.int64)
         out, at, hot_at = [], 0, 0
         for x in got:
             mine, its = w[at : at + len(x[1])], u[hot_at : hot_at + len(x[3])]
             at, hot_at = at + len(x[1]), hot_at + len(x[3])
-            out.append(dump(customers[mine].astype(np.uint32), tables[mine].astype(np.uint32), hot_customers[its], hot_tables[its], sums))
+            out.append(dump(customers[mine].astype(np.uint32), tables[mine].astype(np.uint32), hot_customers[its], sums, *(x[its] for x in hot_tables)))
         return pa.table({"part": pa.array([p for p, _ in asked], pa.int32()), "to": pa.array(np.full(len(asked), me, np.int32)), "blob": pa.array(out, pa.binary())})
 
     result = pa.schema([("batch", pa.int64()), ("blob", pa.binary()), ("known", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(_arrow(spark, kind))), ("head", pa.binary())])
@@ -359,23 +375,20 @@ def _pair_sums(rows: list[tuple[int, bytes]], me: int, answers: pa.Table, hot: n
     parts = answers.num_rows
     got = [load(b) for _, b in sorted(zip(answers.column("to").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
     root_customers, root_tables = (np.concatenate([x[k] for x in got]).astype(np.float64) for k in (0, 1))
-    all_customers, all_tables, vocabulary = np.sum([x[4] for x in got], 0).tolist()
+    all_customers, all_tables, vocabulary = np.sum([x[3] for x in got], 0).tolist()
     parent = (np.maximum(root_customers - ROOT_DISCOUNT * root_tables, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) / (vocabulary + 1)) / (ROOT_STRENGTH + all_customers)
     # hot contexts' totals come in the order of their partitions, as they were sent
     hot_order = own.hot[np.argsort(_part(own.contexts[own.hot], parts), kind="stable")]
-    hot_customers, hot_tables = (np.concatenate([x[k] for x in got]) for k in (2, 3))
-    tables = own.first_sweep(me)
+    tables, draws = own.first_sweep(me, samples)
     customers, total = own.totals(tables)
-    elsewhere = hot_tables - total[hot_order]  # other partitions' tables of hot contexts stay as they were sent
-    customers[hot_order] = hot_customers
+    customers[hot_order] = np.concatenate([x[2] for x in got])
     base = parent[own.w]
     mean = np.zeros(len(own.u))
     for sweep in range(samples):
-        _, total = own.totals(tables)
-        total[hot_order] += elsewhere
         tables = seat(own.customers, base, total[own.u] - tables, STRENGTH, DISCOUNT, np.random.default_rng([me, 3, sweep]))
+        tables[own.hot_pairs] = draws[sweep]
         _, total = own.totals(tables)
-        total[hot_order] += elsewhere
+        total[hot_order] = np.concatenate([x[4 + sweep] for x in got])
         mean += (np.maximum(own.customers - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * total[own.u]) * base) / (STRENGTH + customers[own.u])
     value = np.log10(mean / samples)
     return [dump(np.bincount(text, many * value[pair])) for pair, text, many in own.entries]
