@@ -1,5 +1,7 @@
 """All queries over the bar engine, and the equivalent SQL."""
 
+from barloom.plans import indicators
+
 FLAGSHIP = "ta_sma"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES = {**indicators.QUERIES}
+SQL = {**indicators.SQL}

@@ -1 +1 @@
-
+"""Tables of bars and what is aligned with them."""
