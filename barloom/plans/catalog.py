@@ -1,7 +1,7 @@
 """All queries over the bar engine, and the equivalent SQL."""
 
-from barloom.plans import indicators
+from barloom.plans import indicators, scalars
 
 FLAGSHIP = "ta_sma"
-QUERIES = {**indicators.QUERIES}
-SQL = {**indicators.SQL}
+QUERIES = {**indicators.QUERIES, **scalars.QUERIES}
+SQL = {**indicators.SQL, **scalars.SQL}
