@@ -141,16 +141,21 @@ def order_rules(df: DataFrame, rules: list[Rule], text: str = "text", sample_row
         sample.unpersist()
 
 
+def verdict(rules: list[Rule], text: Column, words: Column, counted: list[str] | None = None) -> Column:
+    """The first rule, in the given order, that rejects the row, else null; rules behind it aren't computed."""
+    metric = lambda name: F.col(name) if name in (counted or []) else METRICS[name](text, words)
+    out = F.lit(None).cast("string")
+    for rule in reversed(rules):
+        out = F.when(F.coalesce(rule.reject(metric), F.lit(False)), F.lit(rule.name)).otherwise(out)
+    return out
+
+
 def cascade(df: DataFrame, rules: list[Rule], text: str = "text", words: str = "_words", counted: list[str] | None = None) -> DataFrame:
-    """``df`` with ``failed_rule``: the first rule, in the given order, that rejects the row, else null.
+    """``df`` with ``failed_rule``, the verdict.
 
     ``words`` names an array column of the text's words (see ``with_words``), ``counted`` columns that hold metrics.
     """
-    metric = _metric_of(counted or [], text, words)
-    verdict = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        verdict = F.when(F.coalesce(rule.reject(metric), F.lit(False)), F.lit(rule.name)).otherwise(verdict)
-    return df.withColumn("failed_rule", verdict)
+    return df.withColumn("failed_rule", verdict(rules, F.col(text), F.col(words), counted))
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -159,8 +164,9 @@ def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, text: str =
     Null and empty texts have too few words and go; rows that repeat are judged alike; no rows give no rows.
     """
     ordered = order_rules(docs, rules or RULES, text, sample_rows)
-    held = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return cascade(with_words(held, "_text"), ordered, "_text").where("failed_rule IS NULL").select("_row.*")
+    # bound to a variable, the words are split once a row; a filter would put the split in place of each mention
+    failed = F.transform(F.array(words_of(F.col(text))), lambda words: verdict(ordered, F.col(text), words))[0]
+    return docs.where(failed.isNull())
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
