@@ -1,7 +1,7 @@
 """All queries over the bar engine, and the equivalent SQL."""
 
-from barloom.plans import indicators, scalars
+from barloom.plans import indicators, scalars, strategies
 
 FLAGSHIP = "ta_sma"
-QUERIES = {**indicators.QUERIES, **scalars.QUERIES}
-SQL = {**indicators.SQL, **scalars.SQL}
+QUERIES = {**indicators.QUERIES, **scalars.QUERIES, **strategies.QUERIES}
+SQL = {**indicators.SQL, **scalars.SQL, **strategies.SQL}
