@@ -11,6 +11,7 @@ as binary files by their declared lengths; no task touches a local file.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -215,7 +216,7 @@ def with_revisits(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Uncompressed WARC files of at most ``FILE_RECORDS`` records under ``path``."""
+    """WARC files of at most ``FILE_RECORDS`` records under ``path``, each compressed as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +224,7 @@ def write_warc(records: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
     rows = records.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def read_warcs(spark: SparkSession, path: str) -> DataFrame:
@@ -238,7 +239,8 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for fields, block in read_warc(content.as_py()):
+                data = content.as_py()
+                for fields, block in read_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     head, payload = split_http(block)
                     digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     revisit = fields["warc-type"] == "revisit"
