@@ -7,7 +7,8 @@ to ``EXACT`` customers of a word in a restaurant, else by seating customers in g
 predictive probabilities of ``SAMPLES`` seatings.
 
 How it is spread: texts are cut into batches. A batch sends each context partition the distinct word pairs that fall to
-it, with their counts and the texts they stand in, and each word partition likewise its distinct words. A context
+it, with their counts and the texts they stand in. As every word but the last is the context of the next, that partition
+also knows the plain count of its contexts. A context
 partition seats its restaurants, sends the tables per word to the partitions of the parent, gets the parent's counts
 back for just its words, seats again and returns sums per text to the batch. Everything that is sent follows the input;
 no model is gathered anywhere. A context with more than ``HOT_SHARE`` of all words, by counters of fixed size, is dealt
@@ -35,7 +36,7 @@ DISCOUNT, STRENGTH = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 1.0
 SAMPLES = 3
 EXACT = 16
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_TEXTS = 1 << 16
 #: Texts for each context partition, and fewest such partitions.
 PART_TEXTS, LEAST_PARTS = 4_000, 64
@@ -61,15 +62,38 @@ def load(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """The upper 48 bits of hashes, as bytes."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).ravel()
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as the largest one needs."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def _long(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = b.reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.uint64)
+def _pack(h: np.ndarray) -> np.ndarray:
+    """A sorted array of hashes: the first one, then the steps in as few bytes as the largest one needs."""
+    if not len(h):
+        return np.zeros(0, np.uint8)
+    steps = np.diff(h)
+    n = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    body = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).ravel()
+    return np.concatenate([np.array([n], np.uint8), h[:1].astype("<u8").view(np.uint8), body])
+
+
+def _unpack(b: np.ndarray) -> np.ndarray:
+    if not len(b):
+        return np.zeros(0, np.uint64)
+    n = int(b[0])
+    out = np.zeros(((len(b) - 9) // n + 1, 8), np.uint8)
+    out[0] = b[1:9]
+    out[1:, :n] = b[9:].reshape(-1, n)
+    return np.cumsum(out.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
+#: Bits of a word's hash by which it is a dish; contexts keep all 64.
+DISH_BITS = 40
+
+
+def _dish(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - DISH_BITS)
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -119,50 +143,51 @@ def _groups(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(key[order], np.arange(most + 1))
 
 
-def _batch_rows(number: int, data: np.ndarray, off: np.ndarray, held: np.ndarray, parts: int, word_parts: int, hot: np.ndarray) -> tuple[list, np.ndarray]:
-    """((partition, batch, blob) for every context partition and, from ``parts`` on, every word partition; tokens a text)."""
+def _batch_rows(number: int, data: np.ndarray, off: np.ndarray, held: np.ndarray, parts: int, hot: np.ndarray) -> tuple[list, np.ndarray]:
+    """((partition, batch, blob) for every context partition; tokens a text)."""
     hashes, first = W.word_hashes(data, off, W.NON_BLANK)
     texts = len(off) - 1
     n = np.diff(first) + 1
-    text = np.repeat(np.arange(texts), n)
+    text = np.repeat(np.arange(texts, dtype=np.int64), n)
     token = np.full(len(text), END, np.uint64)
     token[np.arange(len(hashes)) + np.repeat(np.arange(texts), n - 1)] = hashes
     known, word = np.unique(token, return_inverse=True)
-    teaches = ~held[text]
-    rows = []
-    # words: (word, text) with counts
-    key, count = np.unique(word.astype(np.int64) << 16 | text, return_counts=True)
-    own, where = key >> 16, (key & 0xFFFF).astype(np.uint16)
-    edge = np.searchsorted(own, np.arange(len(known) + 1))
-    train = np.bincount(word[teaches], minlength=len(known)).astype(np.uint32)
-    order, cut = _groups(_part(known, word_parts), word_parts)
-    for p in range(word_parts):
-        mine = order[cut[p] : cut[p + 1]]
-        size = edge[mine + 1] - edge[mine]
-        at = np.arange(size.sum()) + np.repeat(edge[mine] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        rows.append((parts + p, number, dump(known[mine], train[mine], size.astype(np.uint32), where[at], np.minimum(count[at], 0xFFFFFFFF).astype(np.uint32))))
+    del token, hashes
     # pairs: (context, word, text) with counts; the context of a text's first token is START, numbered behind all words
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[np.cumsum(n) - n] = len(known)
-    pair = before.astype(np.int64) * (len(known) + 1) + word
+    pair = np.empty(len(word), np.int64)
+    pair[1:] = word[:-1]
+    pair[np.cumsum(n) - n] = len(known)
+    pair *= len(known) + 1
+    pair += word
+    del word
     kinds, pair = np.unique(pair, return_inverse=True)
-    key, count = np.unique(pair.astype(np.int64) << 16 | text, return_counts=True)
-    own, where = key >> 16, (key & 0xFFFF).astype(np.uint16)
-    edge = np.searchsorted(own, np.arange(len(kinds) + 1))
-    train = np.bincount(pair[teaches], minlength=len(kinds)).astype(np.uint32)
+    train = np.bincount(pair[~held[text]], minlength=len(kinds))
+    pair <<= 16
+    pair |= text
+    del text
+    key, count = np.unique(pair, return_counts=True)
+    del pair
+    where = (key & 0xFFFF).astype(np.uint16)
+    key >>= 16
+    edge = np.searchsorted(key, np.arange(len(kinds) + 1))
     u, w = kinds // (len(known) + 1), kinds % (len(known) + 1)
     named = np.append(known, START)
     whose = np.where(hot[(named[u] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], W.mix64(named[u] ^ named[w] * np.uint64(0xD6E8FEB86659FD93)), named[u])
     order, cut = _groups(_part(whose, parts), parts)
+    rows = []
     for p in range(parts):
         mine = order[cut[p] : cut[p + 1]]
+        contexts, run = np.unique(u[mine], return_inverse=True)  # numbers of words follow their hashes, but for START
+        by_hash = np.argsort(named[contexts])
+        place = np.empty(len(by_hash), np.int64)
+        place[by_hash] = np.arange(len(by_hash))
+        resort = np.argsort(place[run], kind="stable")  # pairs in order of the context's hash
+        mine, run = mine[resort], place[run][resort]
         size = edge[mine + 1] - edge[mine]
         at = np.arange(size.sum()) + np.repeat(edge[mine] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        contexts, runs = np.unique(u[mine], return_counts=True)  # pairs are in order of the context
-        dishes, dish = np.unique(w[mine], return_inverse=True)
-        small = np.uint16 if len(dishes) <= 0xFFFF else np.uint32
-        rows.append((p, number, dump(_short(named[contexts]), runs.astype(np.uint32), _short(named[dishes]), dish.astype(small), train[mine], size.astype(np.uint32), where[at], count[at].astype(np.uint32))))
+        dishes, dish = np.unique(_dish(named[w[mine]]), return_inverse=True)
+        blob = dump(_pack(named[contexts][by_hash]), _narrow(np.bincount(run, minlength=len(contexts))), _pack(dishes), _narrow(dish), _narrow(train[mine]), _narrow(size), where[at], _narrow(count[at]))
+        rows.append((p, number, blob))
     return rows, n
 
 
@@ -173,8 +198,8 @@ class Tables:
         rows = sorted(rows)
         loaded = [load(b) for _, b in rows]
         self.batches = [b for b, _ in rows]
-        self.contexts, u = np.unique(np.concatenate([np.repeat(_long(x[0]), x[1]) for x in loaded]), return_inverse=True)
-        self.words, w = np.unique(np.concatenate([_long(x[2])[x[3]] for x in loaded]), return_inverse=True)
+        self.contexts, u = np.unique(np.concatenate([np.repeat(_unpack(x[0]), x[1]) for x in loaded]), return_inverse=True)
+        self.words, w = np.unique(np.concatenate([_unpack(x[2])[x[3]] for x in loaded]), return_inverse=True)
         kinds, pair = np.unique(u.astype(np.int64) * len(self.words) + w, return_inverse=True)
         self.u, self.w = kinds // max(1, len(self.words)), kinds % max(1, len(self.words))
         self.customers = np.bincount(pair, np.concatenate([x[4] for x in loaded]), len(kinds)).astype(np.int64)
@@ -230,9 +255,9 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
 
     counts = fixed_table(own.select("text"), 1 << COUNT_BITS, np.dtype(np.int64), fill, np.add)
     hot_slots = counts > max(1, counts.sum() * HOT_SHARE)
+    hot_slots[int(START >> np.uint64(64 - COUNT_BITS))] = True  # its total is the number of training texts, which all need
     texts = own.count()
     parts = max(LEAST_PARTS, -(-texts // PART_TEXTS))
-    word_parts = parts // 2
     sent = spark.sparkContext.broadcast(np.packbits(hot_slots))
     kind = docs.schema[doc_id].dataType
 
@@ -246,7 +271,7 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
                 for i in range(0, b - a, BATCH_TEXTS):
                     j = min(i + BATCH_TEXTS, b - a)
                     these = held_all[a + i : a + j]
-                    rows, n = _batch_rows(task + seq, part[cut[i] : cut[j]], cut[i : j + 1] - cut[i], these, parts, word_parts, hot)
+                    rows, n = _batch_rows(task + seq, part[cut[i] : cut[j]], cut[i : j + 1] - cut[i], these, parts, hot)
                     for lo in range(0, len(rows), 32):
                         some = rows[lo : lo + 32]
                         ids = [None] * len(some)
@@ -267,21 +292,19 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
     def ask(table: pa.Table) -> pa.Table:
         """A context partition's tables per word, and its part of the hot contexts' totals, for the parent's partitions."""
         me = table.column("part")[0].as_py()
-        if me >= parts:
-            return pa.table({"to": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         own_ = Tables(_table_rows(table), np.unpackbits(sent.value).astype(bool))
         tables, draws = own_.first_sweep(me, samples)
         customers, _ = own_.totals(tables)
         total = own_.hot_totals(draws)
-        per_word = np.bincount(own_.w, tables, len(own_.words)).astype(np.uint32)
+        per_word = np.bincount(own_.w, tables, len(own_.words)).astype(np.int64)
         out = []
-        word_cut = np.searchsorted(_part(own_.words, parts), np.arange(parts + 1))  # parts follow the hashes' order
+        word_cut = np.searchsorted(_part(own_.words << np.uint64(64 - DISH_BITS), parts), np.arange(parts + 1))  # parts follow the hashes' order
         hot_part = _part(own_.contexts[own_.hot], parts)
         for q in range(parts):
             a, b = word_cut[q], word_cut[q + 1]
             its = hot_part == q
             h = own_.hot[its]
-            out.append(dump(_short(own_.words[a:b]), per_word[a:b], _short(own_.contexts[h]), customers[h].astype(np.int64), *(x[its] for x in total)))
+            out.append(dump(_pack(own_.words[a:b]), _narrow(per_word[a:b]), _pack(own_.contexts[h]), customers[h].astype(np.int64), *(x[its] for x in total)))
         return pa.table({"to": pa.array(np.arange(parts, dtype=np.int32)), "part": pa.array(np.full(parts, me, np.int32)), "blob": pa.array(out, pa.binary())})
 
     def answer(table: pa.Table) -> pa.Table:
@@ -289,25 +312,26 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
         me = table.column("to")[0].as_py()
         asked = sorted(zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True))
         got = [load(b) for _, b in asked]
-        words, w = np.unique(np.concatenate([_long(x[0]) for x in got]), return_inverse=True)
+        words, w = np.unique(np.concatenate([_unpack(x[0]) for x in got]), return_inverse=True)
         customers = np.bincount(w, np.concatenate([x[1] for x in got]), len(words)).astype(np.int64)
         vocabulary = int((customers > 0).sum())
         tables = np.minimum(customers, 1)
         for sweep in range(2):  # the other partitions' totals are estimated by this one's
             rest = tables.sum() * parts - tables
             tables = seat(customers, np.full(len(words), 1 / (1 + vocabulary * parts)), rest, ROOT_STRENGTH, ROOT_DISCOUNT, np.random.default_rng([me, 2, sweep]))
-        contexts, u = np.unique(np.concatenate([_long(x[2]) for x in got]), return_inverse=True)
+        contexts, u = np.unique(np.concatenate([_unpack(x[2]) for x in got]), return_inverse=True)
         hot_customers = np.bincount(u, np.concatenate([x[3] for x in got]), len(contexts)).astype(np.int64)
         hot_tables = [np.bincount(u, np.concatenate([x[4 + s] for x in got]), len(contexts)).astype(np.int64) for s in range(samples)]
-        sums = np.array([customers.sum(), tables.sum(), vocabulary], np.int64)
+        starts = contexts == START
+        sums = np.array([customers.sum(), tables.sum(), vocabulary, ((hot_customers > 0) & ~starts).sum(), hot_customers[starts].sum()], np.int64)
         out, at, hot_at = [], 0, 0
         for x in got:
             mine, its = w[at : at + len(x[1])], u[hot_at : hot_at + len(x[3])]
             at, hot_at = at + len(x[1]), hot_at + len(x[3])
-            out.append(dump(customers[mine].astype(np.uint32), tables[mine].astype(np.uint32), hot_customers[its], sums, *(x[its] for x in hot_tables)))
+            out.append(dump(_narrow(customers[mine]), _narrow(tables[mine]), hot_customers[its], sums, *(x[its] for x in hot_tables)))
         return pa.table({"part": pa.array([p for p, _ in asked], pa.int32()), "to": pa.array(np.full(len(asked), me, np.int32)), "blob": pa.array(out, pa.binary())})
 
-    result = pa.schema([("batch", pa.int64()), ("blob", pa.binary()), ("known", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(_arrow(spark, kind))), ("head", pa.binary())])
+    result = pa.schema([("batch", pa.int64()), ("blob", pa.binary()), ("known", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64()), ("ids", pa.list_(_arrow(spark, kind))), ("head", pa.binary())])
 
     def sums(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """For each batch: the sums of its texts over this partition's words or pairs."""
@@ -316,12 +340,9 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
         me = left.column("part")[0].as_py()
         order = np.argsort(left.column("batch").to_numpy(), kind="stable")
         left = left.take(pa.array(order))
-        if me >= parts:
-            out, known, tokens = _word_sums(_table_rows(left))
-        else:
-            out, known, tokens = _pair_sums(_table_rows(left), me, right, np.unpackbits(sent.value).astype(bool), samples), 0, 0
+        out, known, tokens, ends = _pair_sums(_table_rows(left), me, right, np.unpackbits(sent.value).astype(bool), samples)
         n = left.num_rows
-        return pa.table([left.column("batch"), pa.array(out, pa.binary()), pa.array([known] * n, pa.int64()), pa.array([tokens] * n, pa.int64()), left.column("ids"), left.column("head")], schema=result)
+        return pa.table([left.column("batch"), pa.array(out, pa.binary()), *(pa.array([x] * n, pa.int64()) for x in (known, tokens, ends)), left.column("ids"), left.column("head")], schema=result)
 
     final = pa.schema([("doc_id", _arrow(spark, kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -329,22 +350,20 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
         heads = table.column("head").to_pylist()
         k = next(i for i, h in enumerate(heads) if h is not None)
         n, held_out = load(heads[k])
-        distinct, total = sum(table.column("known").to_pylist()), sum(table.column("tokens").to_pylist())
-        base, model, known = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), np.int64)
+        distinct, total_tokens = sum(table.column("known").to_pylist()), sum(table.column("tokens").to_pylist())
+        ends = table.column("ends")[0].as_py()
+        # every text's end token, which is no context
+        base, model, known = np.full(len(n), np.log10(ends + 0.1)), np.zeros(len(n)), np.full(len(n), int(ends > 0), np.int64)
         for blob in sorted(table.column("blob").to_pylist()):  # sums in one order, whatever came first
-            arrays = load(blob)
-            if len(arrays) == 2:
-                base[: len(arrays[0])] += arrays[0]
-                known[: len(arrays[1])] += arrays[1]
-            else:
-                model[: len(arrays[0])] += arrays[0]
-        base -= n * np.log10(total + 0.1 * (distinct + 1))
+            for total, part in zip((model, base, known), load(blob), strict=True):
+                total[: len(part)] += part.astype(total.dtype)
+        base -= n * np.log10(total_tokens + 0.1 * (distinct + 1))
         ids = table.column("ids")[k].values
-        return pa.table([ids, pa.array(held_out.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), total)), pa.array(base), pa.array(model)], schema=final)
+        return pa.table([ids, pa.array(held_out.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), total_tokens)), pa.array(base), pa.array(model)], schema=final)
 
     asked = blobs.groupBy("part").applyInArrow(ask, "to int, part int, blob binary")
     answered = asked.groupBy("to").applyInArrow(answer, "part int, to int, blob binary")
-    summed = blobs.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(sums, f"batch long, blob binary, known long, tokens long, ids array<{sql}>, head binary")
+    summed = blobs.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(sums, f"batch long, blob binary, known long, tokens long, ends long, ids array<{sql}>, head binary")
     return summed.groupBy("batch").applyInArrow(assemble, f"doc_id {sql}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -354,28 +373,15 @@ def _arrow(spark: SparkSession, kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _word_sums(rows: list[tuple[int, bytes]]) -> tuple[list[bytes], int, int]:
-    """(per batch: sums of log10(count + 0.1) and known tokens of its texts; distinct words; tokens) of a word partition."""
-    loaded = [load(b) for _, b in rows]
-    words, w = np.unique(np.concatenate([x[0] for x in loaded]), return_inverse=True)
-    counts = np.bincount(w, np.concatenate([x[1] for x in loaded]), len(words)).astype(np.int64)
-    value = np.log10(counts + 0.1)
-    out, at = [], 0
-    for x in loaded:
-        mine = w[at : at + len(x[0])]
-        at += len(x[0])
-        entry, many = np.repeat(mine, x[2]), x[4].astype(np.float64)
-        out.append(dump(np.bincount(x[3], many * value[entry]), np.bincount(x[3], many * (counts[entry] > 0)).astype(np.uint32)))
-    return out, int((counts > 0).sum()), int(counts.sum())
-
-
-def _pair_sums(rows: list[tuple[int, bytes]], me: int, answers: pa.Table, hot: np.ndarray, samples: int) -> list[bytes]:
-    """Per batch: the sums of log10 of the averaged predictive probabilities of its texts' pairs in a context partition."""
+def _pair_sums(rows: list[tuple[int, bytes]], me: int, answers: pa.Table, hot: np.ndarray, samples: int) -> tuple[list[bytes], int, int, int]:
+    """What a context partition has for each batch's texts: the sums of log10 of the averaged predictive probabilities of
+    their pairs, those of log10(count + 0.1) of their contexts as words, and how many of these are known. With it, the
+    distinct words and training tokens that are counted here, and the number of training texts."""
     own = Tables(rows, hot)
     parts = answers.num_rows
     got = [load(b) for _, b in sorted(zip(answers.column("to").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
     root_customers, root_tables = (np.concatenate([x[k] for x in got]).astype(np.float64) for k in (0, 1))
-    all_customers, all_tables, vocabulary = np.sum([x[3] for x in got], 0).tolist()
+    all_customers, all_tables, vocabulary, hot_words, ends = np.sum([x[3] for x in got], 0).tolist()
     parent = (np.maximum(root_customers - ROOT_DISCOUNT * root_tables, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) / (vocabulary + 1)) / (ROOT_STRENGTH + all_customers)
     # hot contexts' totals come in the order of their partitions, as they were sent
     hot_order = own.hot[np.argsort(_part(own.contexts[own.hot], parts), kind="stable")]
@@ -391,7 +397,16 @@ def _pair_sums(rows: list[tuple[int, bytes]], me: int, answers: pa.Table, hot: n
         total[hot_order] = np.concatenate([x[4 + sweep] for x in got])
         mean += (np.maximum(own.customers - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * total[own.u]) * base) / (STRENGTH + customers[own.u])
     value = np.log10(mean / samples)
-    return [dump(np.bincount(text, many * value[pair])) for pair, text, many in own.entries]
+    start = own.contexts == START
+    plain, seen = np.where(start, 0, np.log10(customers + 0.1)), (customers > 0) & ~start
+    distinct = np.ones(len(own.contexts), bool)
+    distinct[own.hot] = False  # counted by the parent's partitions, for one of the context partitions to hand on
+    words = int((seen & distinct).sum()) + (hot_words + int(ends > 0) if me == 0 else 0)
+    out = []
+    for pair, text, many in own.entries:
+        u, many = own.u[pair], many.astype(np.float64)
+        out.append(dump(np.bincount(text, many * value[pair]).astype(np.float32), np.bincount(text, many * plain[u]), _narrow(np.bincount(text, many * seen[u]).astype(np.int64))))
+    return out, words, int(own.customers.sum()), ends
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
