@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,15 @@ def r6(c):
     return F.round(c + 1e-9, 6)
 
 
-def _add(name: str, table: str, key: list[str], columns: dict, sql: dict[str, str], prepare=None, source: str | None = None, before: str = "") -> None:
-    """``columns`` makes the result's columns, ``sql`` says the same; floats are rounded on both sides by the caller's r()."""
+def _add(name: str, table: str, key: list[str], columns: Callable[[], dict], sql: dict[str, str], prepare=None, source: str | None = None, before: str = "") -> None:
+    """``columns`` makes the result's columns once a session is there, ``sql`` says the same; floats are rounded on both sides by the caller's r()."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = event_bars(spark, sf_dir, HOUR) if table == "bars" else spark.read.parquet(f"{sf_dir}/{table}.parquet")
         df = prepare(df) if prepare else df
-        kinds = dict(df.select(*[c.alias(k) for k, c in columns.items()]).dtypes)
-        return df.select(*key, *[(r6(c) if kinds[k] == "double" else c).alias(k) for k, c in columns.items()])
+        made = columns()
+        kinds = dict(df.select(*[c.alias(k) for k, c in made.items()]).dtypes)
+        return df.select(*key, *[(r6(c) if kinds[k] == "double" else c).alias(k) for k, c in made.items()])
 
     QUERIES[name] = run
     head = f"WITH {bars_sql()}{before} " if table == "bars" else f"WITH one AS (SELECT 1){before} "
@@ -43,14 +46,17 @@ def r(e: str) -> str:
 
 
 def values() -> None:
-    x, y = F.col("l_discount"), F.when(F.col("l_linenumber") != 3, F.col("l_tax"))
-    held = F.when(F.col("l_linenumber") != 2, F.col("l_quantity") > 25)
-    columns = {
-        "na": V.na(y), "nz": V.nz(y, -1.0), "eq": V.eq(x, y), "eq5": V.eq(x, y, 5), "ne": V.ne(x, y), "gt": V.gt(x, y), "ge": V.ge(x, y), "lt": V.lt(x, y), "le": V.le(x, y),
-        "and_": V.and_(held, x > 0.05), "or_": V.or_(held, x > 0.05), "not_": V.not_(held), "iff": V.iff(held, F.lit(1), F.lit(2)), "div": V.div(F.col("l_quantity"), F.col("l_linenumber") - 2),
-        "mod": V.mod(-F.col("l_orderkey"), F.col("l_linenumber").cast("long")), "int_": V.int_(-F.col("l_extendedprice")), "float_": V.float_("l_linenumber"), "bool_": V.bool_(F.col("l_linenumber") - 1), "string_": V.string_(F.col("l_linenumber")),
-        "switch": V.switch([(F.col("l_linenumber") == 1, F.lit("one")), (F.col("l_linenumber") < 4, F.lit("few"))], F.lit("many")), "same_text": V.same_text(F.when(F.col("l_linenumber") != 1, F.lit("")), F.lit("")),
-    }
+    def make() -> dict:
+        x, y = F.col("l_discount"), F.when(F.col("l_linenumber") != 3, F.col("l_tax"))
+        held = F.when(F.col("l_linenumber") != 2, F.col("l_quantity") > 25)
+        columns = {
+            "na": V.na(y), "nz": V.nz(y, -1.0), "eq": V.eq(x, y), "eq5": V.eq(x, y, 5), "ne": V.ne(x, y), "gt": V.gt(x, y), "ge": V.ge(x, y), "lt": V.lt(x, y), "le": V.le(x, y),
+            "and_": V.and_(held, x > 0.05), "or_": V.or_(held, x > 0.05), "not_": V.not_(held), "iff": V.iff(held, F.lit(1), F.lit(2)), "div": V.div(F.col("l_quantity"), F.col("l_linenumber") - 2),
+            "mod": V.mod(-F.col("l_orderkey"), F.col("l_linenumber").cast("long")), "int_": V.int_(-F.col("l_extendedprice")), "float_": V.float_("l_linenumber"), "bool_": V.bool_(F.col("l_linenumber") - 1), "string_": V.string_(F.col("l_linenumber")),
+            "switch": V.switch([(F.col("l_linenumber") == 1, F.lit("one")), (F.col("l_linenumber") < 4, F.lit("few"))], F.lit("many")), "same_text": V.same_text(F.when(F.col("l_linenumber") != 1, F.lit("")), F.lit("")),
+        }
+        return columns
+
     d, t, h = "l_discount", "(CASE WHEN l_linenumber <> 3 THEN l_tax END)", "coalesce(CASE WHEN l_linenumber <> 2 THEN l_quantity > 25 END, false)"
     sql = {
         "na": f"{t} IS NULL", "nz": r(f"coalesce({t}, -1)"), "eq": f"coalesce(abs({d} - {t}) <= 1e-10, false)", "eq5": f"abs({d} - {t}) <= 1e-10", "ne": f"coalesce(abs({d} - {t}) > 1e-10, false)", "gt": f"coalesce({d} - {t} > 1e-10, false)",
@@ -58,39 +64,43 @@ def values() -> None:
         "iff": f"CASE WHEN {h} THEN 1 ELSE 2 END", "div": r("l_quantity / nullif(l_linenumber - 2, 0)"), "mod": "(-l_orderkey) % l_linenumber::BIGINT", "int_": "trunc(-l_extendedprice)::BIGINT", "float_": r("l_linenumber::DOUBLE"), "bool_": "l_linenumber <> 1",
         "string_": "l_linenumber::VARCHAR", "switch": "CASE WHEN l_linenumber = 1 THEN 'one' WHEN l_linenumber < 4 THEN 'few' ELSE 'many' END", "same_text": "true",
     }
-    _add("values_and_logic", "lineitem", ["l_orderkey", "l_linenumber"], columns, sql)
+    _add("values_and_logic", "lineitem", ["l_orderkey", "l_linenumber"], make, sql)
 
 
 def maths() -> None:
-    p, q = F.col("l_extendedprice"), F.col("l_quantity")
-    x = (F.col("l_discount") - 0.05) * 10
-    sx = "((l_discount - 0.05) * 10)"
-    unary = {"sqrt": (p, "l_extendedprice"), "cbrt": (p, "l_extendedprice"), "log": (p, "l_extendedprice"), "log10": (p, "l_extendedprice"), "exp": (x, sx), "acos": (x, sx), "asin": (x, sx), "atan": (p, "l_extendedprice"), "sin": (q, "l_quantity"), "cos": (q, "l_quantity"), "tan": (q, "l_quantity"), "todegrees": (q, "l_quantity"), "toradians": (q, "l_quantity")}
+    p, q, x = "l_extendedprice", "l_quantity", "((l_discount - 0.05) * 10)"
+    unary = {"sqrt": p, "cbrt": p, "log": p, "log10": p, "exp": x, "acos": x, "asin": x, "atan": p, "sin": q, "cos": q, "tan": q, "todegrees": q, "toradians": q}
     names = {"log": "ln", "todegrees": "degrees", "toradians": "radians"}
-    columns = {k: getattr(N, k)(c) for k, (c, _) in unary.items()}
-    sql = {k: r(f"CASE WHEN abs({e}) <= 1 THEN {k}({e}) END" if k in ("acos", "asin") else f"{names.get(k, k)}({e})") for k, (_, e) in unary.items()}
-    half = F.col("l_linenumber") - 3.5
-    columns |= {
-        "abs": N.abs_(half), "max": N.max_(p, q, half), "min": N.min_(p, q, half), "avg": N.avg(p, q, half), "floor": N.floor(half), "ceil": N.ceil(half), "trunc": N.trunc(half), "sign": N.sign(half), "round": N.round_(half),
-        "round2": N.round_(half / 7, 2), "mintick": N.round_to_mintick(p, 0.25), "pow": N.pow_(q, F.lit(0.5)), "hypot": N.hypot(p, q),
-    }
+
+    def make() -> dict:
+        p, q = F.col("l_extendedprice"), F.col("l_quantity")
+        half = F.col("l_linenumber") - 3.5
+        return {k: getattr(N, k)(F.expr(e)) for k, e in unary.items()} | {
+            "abs": N.abs_(half), "max": N.max_(p, q, half), "min": N.min_(p, q, half), "avg": N.avg(p, q, half), "floor": N.floor(half), "ceil": N.ceil(half), "trunc": N.trunc(half), "sign": N.sign(half), "round": N.round_(half),
+            "round2": N.round_(half / 7, 2), "mintick": N.round_to_mintick(p, 0.25), "pow": N.pow_(q, F.lit(0.5)), "hypot": N.hypot(p, q),
+        }
+
+    sql = {k: r(f"CASE WHEN abs({e}) <= 1 THEN {k}({e}) END" if k in ("acos", "asin") else f"{names.get(k, k)}({e})") for k, e in unary.items()}
     h = "(l_linenumber - 3.5)"
     sql |= {
         "abs": r(f"abs({h})::DOUBLE"), "max": r(f"greatest(l_extendedprice, l_quantity, {h})"), "min": r(f"least(l_extendedprice, l_quantity, {h})"), "avg": r(f"(l_extendedprice + l_quantity + {h}) / 3"), "floor": f"floor({h})::BIGINT", "ceil": f"ceil({h})::BIGINT",
         "trunc": f"trunc({h})::BIGINT", "sign": r(f"sign({h})::DOUBLE"), "round": f"floor({h} + 0.5)::BIGINT", "round2": r(f"floor(({h}::DOUBLE / 7) * 100 + 0.5) / 100"), "mintick": r("floor(l_extendedprice / 0.25 + 0.5) * 0.25"), "pow": r("power(l_quantity, 0.5)"),
         "hypot": r("sqrt(l_extendedprice * l_extendedprice + l_quantity * l_quantity)"),
     }
-    _add("math_functions", "lineitem", ["l_orderkey", "l_linenumber"], columns, sql)
+    _add("math_functions", "lineitem", ["l_orderkey", "l_linenumber"], make, sql)
 
 
 def texts() -> None:
-    c = F.col("p_name")
-    columns = {
-        "length": S.length(c), "upper": S.upper(c), "lower": S.lower(c), "contains": S.contains(c, "an"), "startswith": S.startswith(c, "p"), "endswith": S.endswith(c, "1"), "pos": S.pos(c, "a").cast("double"), "substring": S.substring(c, 1, 4),
-        "trim": S.trim(F.concat(F.lit(" \t"), c, F.lit("\n"))), "repeat": S.repeat(c, 2, "-"), "replace": S.replace(c, "a", "*", 1), "replace_all": S.replace_all(c, "a", "*"), "between": S.replace_all(F.substring(c, 1, 3), "", "."), "tonumber": S.tonumber(F.col("p_partkey").cast("string")),
-        "not_number": S.tonumber(c), "match": S.match(c, "[a-z]+"), "split": F.array_join(S.split(c, " "), "|"), "tostring": S.tostring("p_retailprice", "#,##0.00"), "percent": S.tostring("p_size", "percent"), "volume": S.tostring(F.col("p_retailprice") * 1000, "volume"),
-        "message": S.format_("{0}: {1,number,#.0} '{'ok'}'", "p_brand", "p_retailprice"), "day": S.format_time(F.col("p_partkey") * 86_400_000, "yyyy-MM-dd HH:mm", "UTC"),
-    }
+    def make() -> dict:
+        c = F.col("p_name")
+        columns = {
+            "length": S.length(c), "upper": S.upper(c), "lower": S.lower(c), "contains": S.contains(c, "an"), "startswith": S.startswith(c, "p"), "endswith": S.endswith(c, "1"), "pos": S.pos(c, "a").cast("double"), "substring": S.substring(c, 1, 4),
+            "trim": S.trim(F.concat(F.lit(" \t"), c, F.lit("\n"))), "repeat": S.repeat(c, 2, "-"), "replace": S.replace(c, "a", "*", 1), "replace_all": S.replace_all(c, "a", "*"), "between": S.replace_all(F.substring(c, 1, 3), "", "."), "tonumber": S.tonumber(F.col("p_partkey").cast("string")),
+            "not_number": S.tonumber(c), "match": S.match(c, "[a-z]+"), "split": F.array_join(S.split(c, " "), "|"), "tostring": S.tostring("p_retailprice", "#,##0.00"), "percent": S.tostring("p_size", "percent"), "volume": S.tostring(F.col("p_retailprice") * 1000, "volume"),
+            "message": S.format_("{0}: {1,number,#.0} '{'ok'}'", "p_brand", "p_retailprice"), "day": S.format_time(F.col("p_partkey") * 86_400_000, "yyyy-MM-dd HH:mm", "UTC"),
+        }
+        return columns
+
     first = "instr(p_name, 'a')"
     second = f"CASE WHEN {first} > 0 AND instr(substr(p_name, {first} + 1), 'a') > 0 THEN substr(p_name, 1, {first} + instr(substr(p_name, {first} + 1), 'a') - 1) || '*' || substr(p_name, {first} + instr(substr(p_name, {first} + 1), 'a') + 1) ELSE p_name END"
     vol = "(p_retailprice * 1000)"
@@ -101,17 +111,20 @@ def texts() -> None:
         "match": "regexp_extract(p_name, '[a-z]+')", "split": "replace(p_name, ' ', '|')", "tostring": "format('{:,.2f}', p_retailprice::DECIMAL(18, 2)::DOUBLE)", "percent": "p_size::VARCHAR || '%'",
         "volume": f"rtrim(rtrim(format('{{:.3f}}', round({scaled}, 3)), '0'), '.') || CASE WHEN {vol} >= 1e6 THEN 'M' ELSE 'K' END", "message": "p_brand || ': ' || format('{:.1f}', round(p_retailprice, 1)) || ' {ok}'", "day": "strftime(epoch_ms(p_partkey * 86400000), '%Y-%m-%d %H:%M')",
     }
-    _add("str_functions", "part", ["p_partkey"], columns, sql)
+    _add("str_functions", "part", ["p_partkey"], make, sql)
 
 
 def times() -> None:
-    t = F.unix_millis(F.col("ts").cast("timestamp"))
     session = "0930-1600,2200-0200:23456"
-    columns = {
-        "year": T.year(t), "month": T.month(t), "dayofmonth": T.dayofmonth(t), "dayofweek": T.dayofweek(t), "weekofyear": T.weekofyear(t), "hour": T.hour(t), "minute": T.minute(t), "second": T.second(t), "hour_ny": T.hour(t, "America/New_York"),
-        "stamp": T.timestamp(F.lit(2024), F.lit(13), T.dayofmonth(t) + 31, T.hour(t), 90, 5), "b15": T.bucket(t, "15"), "b2d": T.bucket(t, "2D"), "bw": T.bucket(t, "W"), "bm": T.bucket(t, "M"), "c15": T.bucket_close(t, "15"), "cw": T.bucket_close(t, "W"), "cm": T.bucket_close(t, "M"),
-        "open_": T.time(t, "D", session).cast("double"), "in_": T.in_session(t, session), "secs": F.lit(T.in_seconds("3M")), "tf": F.lit(T.from_seconds(7200)),
-    }
+    def make() -> dict:
+        t = F.unix_millis(F.col("ts").cast("timestamp"))
+        columns = {
+            "year": T.year(t), "month": T.month(t), "dayofmonth": T.dayofmonth(t), "dayofweek": T.dayofweek(t), "weekofyear": T.weekofyear(t), "hour": T.hour(t), "minute": T.minute(t), "second": T.second(t), "hour_ny": T.hour(t, "America/New_York"),
+            "stamp": T.timestamp(F.lit(2024), F.lit(13), T.dayofmonth(t) + 31, T.hour(t), 90, 5), "b15": T.bucket(t, "15"), "b2d": T.bucket(t, "2D"), "bw": T.bucket(t, "W"), "bm": T.bucket(t, "M"), "c15": T.bucket_close(t, "15"), "cw": T.bucket_close(t, "W"), "cm": T.bucket_close(t, "M"),
+            "open_": T.time(t, "D", session).cast("double"), "in_": T.in_session(t, session), "secs": F.lit(T.in_seconds("3M")), "tf": F.lit(T.from_seconds(7200)),
+        }
+        return columns
+
     m, d = "(date_part('hour', ts) * 60 + date_part('minute', ts))", "(date_part('dow', ts) + 1)"
     test = f"(({m} >= 570 AND {m} < 960 AND {d} IN (2,3,4,5,6)) OR ({m} >= 1320 AND {d} IN (2,3,4,5,6)) OR ({m} < 120 AND (CASE WHEN {d} = 1 THEN 7 ELSE {d} - 1 END) IN (2,3,4,5,6)))"
     day = "epoch_ms(date_trunc('day', ts))"
@@ -121,16 +134,19 @@ def times() -> None:
         "b2d": "(epoch_ms(ts) // 172800000) * 172800000", "bw": "epoch_ms(date_trunc('week', ts))", "bm": "epoch_ms(date_trunc('month', ts))", "c15": "(epoch_ms(ts) // 900000) * 900000 + 900000", "cw": "epoch_ms(date_trunc('week', ts)) + 604800000", "cm": "epoch_ms(date_trunc('month', ts)::TIMESTAMP + INTERVAL 1 MONTH)",
         "open_": r(f"CASE WHEN {test} THEN {day}::DOUBLE END"), "in_": test, "secs": "7884009", "tf": "'120'",
     }
-    _add("time_functions", "events", ["event_id"], columns, sql)
+    _add("time_functions", "events", ["event_id"], make, sql)
     QUERIES["timeframe_change"] = lambda spark, sf_dir: T.change(event_bars(spark, sf_dir, HOUR), "D", "value").select("sym", "bar_index", "value")
     SQL["timeframe_change"] = f"WITH {bars_sql()} SELECT sym, bar_index, coalesce(time // 86400000 <> lag(time // 86400000) OVER (PARTITION BY sym ORDER BY bar_index), false) AS value FROM bars"
 
 
 def colors() -> None:
-    x = F.col("p_size").cast("double")
-    red, blue = F.lit(C.NAMES["red"]).cast("long"), F.lit(C.NAMES["blue"]).cast("long")
-    shade = C.rgb(x * 5, x, 300 - x, x)
-    columns = {"new": C.new(red, x), "rgb": shade, "r": C.r(shade), "g": C.g(shade), "b": C.b(shade), "t": C.t(shade), "gradient": C.from_gradient(x, F.lit(5.0), F.lit(45.0), red, blue)}
+    def make() -> dict:
+        x = F.col("p_size").cast("double")
+        red, blue = F.lit(C.NAMES["red"]).cast("long"), F.lit(C.NAMES["blue"]).cast("long")
+        shade = C.rgb(x * 5, x, 300 - x, x)
+        columns = {"new": C.new(red, x), "rgb": shade, "r": C.r(shade), "g": C.g(shade), "b": C.b(shade), "t": C.t(shade), "gradient": C.from_gradient(x, F.lit(5.0), F.lit(45.0), red, blue)}
+        return columns
+
     a = "((100 - p_size) * 255 + 50) // 100"
     channel = lambda e: f"least(greatest(round({e}), 0), 255)::BIGINT"
     rgb = f"({channel('p_size * 5')} * 65536 + {channel('p_size')} * 256 + {channel('300 - p_size')})::BIGINT"
@@ -142,7 +158,7 @@ def colors() -> None:
         "new": made(f"{c1}::BIGINT", f"({a})::BIGINT"), "rgb": made(rgb, f"({a})::BIGINT"), "r": channel("p_size * 5"), "g": channel("p_size"), "b": channel("300 - p_size"), "t": f"floor(100 - ({a}) * 100.0 / 255 + 0.5)::BIGINT",
         "gradient": f"CASE WHEN p_size <= 5 THEN {c1}::BIGINT WHEN p_size >= 45 THEN {c2} ELSE {mixed} END",
     }
-    _add("color_functions", "part", ["p_partkey"], columns, sql)
+    _add("color_functions", "part", ["p_partkey"], make, sql)
 
 
 W = "(PARTITION BY sym ORDER BY bar_index ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
@@ -155,25 +171,31 @@ def array_queries() -> None:
 
     before = f", d AS (SELECT sym, bar_index, close, list(close) OVER {W} AS a, list(volume) OVER {W} AS v FROM bars), e AS (SELECT *, list_sort(a) AS s, list_sort(v) AS sv FROM d WHERE bar_index >= 6)"
     key = ["sym", "bar_index"]
-    popped, rest = A.pop("a")
-    gone, left = A.remove("a", 2)
-    columns = {
-        "size": A.size("a"), "get": A.get("a", -2), "set": A.get(A.set_("a", 1, F.lit(7.0)), 1), "push": A.size(A.push("a", F.lit(1.0))), "unshift": A.first(A.unshift("a", F.lit(1.5))), "insert": A.get(A.insert("a", 3, F.lit(2.5)), 4), "pop": popped, "popped": A.last(rest),
-        "remove": gone, "removed": A.get(left, 2), "shift": A.shift("a")[0], "fill": A.sum_(A.fill("a", F.lit(1.0), 1, 3)), "first": A.first("a"), "last": A.last("a"), "slice": A.sum_(A.slice_("a", 2, 5)), "concat": A.size(A.concat("a", "v")), "copy": A.last(A.copy("a")),
-        "includes": A.includes("v", F.lit(3.0)), "every": A.every("v"), "some": A.some(F.transform("v", lambda x: x > 4)), "indexof": A.indexof("v", F.lit(3.0)), "lastindexof": A.lastindexof("v", F.lit(3.0)), "reverse": A.first(A.reverse("a")), "clear": A.size(A.clear("a")), "join": A.join(F.transform("v", lambda x: x.cast("int")), "-"),
-        "new": A.size(A.new(4, 1.0)), "from_": A.sum_(A.from_("close", F.lit(1.0))),
-    }
+    def access() -> dict:
+        popped, rest = A.pop("a")
+        gone, left = A.remove("a", 2)
+        columns = {
+            "size": A.size("a"), "get": A.get("a", -2), "set": A.get(A.set_("a", 1, F.lit(7.0)), 1), "push": A.size(A.push("a", F.lit(1.0))), "unshift": A.first(A.unshift("a", F.lit(1.5))), "insert": A.get(A.insert("a", 3, F.lit(2.5)), 4), "pop": popped, "popped": A.last(rest),
+            "remove": gone, "removed": A.get(left, 2), "shift": A.shift("a")[0], "fill": A.sum_(A.fill("a", F.lit(1.0), 1, 3)), "first": A.first("a"), "last": A.last("a"), "slice": A.sum_(A.slice_("a", 2, 5)), "concat": A.size(A.concat("a", "v")), "copy": A.last(A.copy("a")),
+            "includes": A.includes("v", F.lit(3.0)), "every": A.every("v"), "some": A.some(F.transform("v", lambda x: x > 4)), "indexof": A.indexof("v", F.lit(3.0)), "lastindexof": A.lastindexof("v", F.lit(3.0)), "reverse": A.first(A.reverse("a")), "clear": A.size(A.clear("a")), "join": A.join(F.transform("v", lambda x: x.cast("int")), "-"),
+            "new": A.size(A.new(4, 1.0)), "from_": A.sum_(A.from_("close", F.lit(1.0))),
+        }
+        return columns
+
     sql = {
         "size": "len(a)::INT", "get": r("a[6]"), "set": r("7.0::DOUBLE"), "push": "8::INT", "unshift": r("1.5::DOUBLE"), "insert": r("a[4]"), "pop": r("a[7]"), "popped": r("a[6]"), "remove": r("a[3]"), "removed": r("a[4]"), "shift": r("a[1]"), "fill": r("a[1] + 2 + list_sum(a[4:7])"), "first": r("a[1]"),
         "last": r("a[7]"), "slice": r("list_sum(a[3:5])"), "concat": "14::INT", "copy": r("a[7]"), "includes": "list_contains(v, 3.0)", "every": "list_min(v) <> 0", "some": "list_max(v) > 4", "indexof": "(coalesce(list_position(v, 3.0), 0) - 1)::INT",
         "lastindexof": "(CASE WHEN list_contains(v, 3.0) THEN 8 - list_position(list_reverse(v), 3.0) ELSE 0 END - 1)::INT", "reverse": r("a[7]"), "clear": "0::INT", "join": "array_to_string(list_transform(v, lambda x: x::INT), '-')", "new": "4::INT", "from_": r("close + 1"),
     }
-    _add("array_access", "bars", key, columns, sql, prepare, "e", before)
-    columns = {
-        "min": A.min_("a"), "second": A.min_("a", 1), "max": A.max_("a"), "third": A.max_("a", 2), "sum": A.sum_("a"), "avg": A.avg("a"), "range": A.range_("a"), "median": A.median("a"), "mode": A.mode("v"), "nearest": A.percentile_nearest_rank("a", 40), "linear": A.percentile_linear_interpolation("a", 40),
-        "percentrank": A.percentrank("a", 3), "covariance": A.covariance("a", "v"), "sample_cov": A.covariance("a", "v", False), "variance": A.variance("a"), "sample_var": A.variance("a", False), "stdev": A.stdev("a"), "standard": A.get(A.standardize("a"), 2), "abs": A.first(A.abs_(F.transform("a", lambda x: -x))),
-        "sorted": A.get(A.sort("a"), 1), "descending": A.get(A.sort("a", False), 1), "order": F.array_join(A.sort_indices("v"), ","), "found": A.binary_search(A.sort("v"), F.lit(3.0)), "leftmost": A.binary_search_leftmost(A.sort("v"), F.lit(3.0)), "rightmost": A.binary_search_rightmost(A.sort("v"), F.lit(3.0)),
-    }
+    _add("array_access", "bars", key, access, sql, prepare, "e", before)
+    def statistics() -> dict:
+        columns = {
+            "min": A.min_("a"), "second": A.min_("a", 1), "max": A.max_("a"), "third": A.max_("a", 2), "sum": A.sum_("a"), "avg": A.avg("a"), "range": A.range_("a"), "median": A.median("a"), "mode": A.mode("v"), "nearest": A.percentile_nearest_rank("a", 40), "linear": A.percentile_linear_interpolation("a", 40),
+            "percentrank": A.percentrank("a", 3), "covariance": A.covariance("a", "v"), "sample_cov": A.covariance("a", "v", False), "variance": A.variance("a"), "sample_var": A.variance("a", False), "stdev": A.stdev("a"), "standard": A.get(A.standardize("a"), 2), "abs": A.first(A.abs_(F.transform("a", lambda x: -x))),
+            "sorted": A.get(A.sort("a"), 1), "descending": A.get(A.sort("a", False), 1), "order": F.array_join(A.sort_indices("v"), ","), "found": A.binary_search(A.sort("v"), F.lit(3.0)), "leftmost": A.binary_search_leftmost(A.sort("v"), F.lit(3.0)), "rightmost": A.binary_search_rightmost(A.sort("v"), F.lit(3.0)),
+        }
+        return columns
+
     mean, vm = "list_avg(a)", "list_avg(v)"
     var = f"list_sum(list_transform(a, lambda x: (x - {mean}) * (x - {mean})))"
     cov = f"list_sum(list_transform(list_zip(a, v), lambda p: (p[1] - {mean}) * (p[2] - {vm})))"
@@ -184,38 +206,54 @@ def array_queries() -> None:
         "standard": r(f"CASE WHEN {var} > 0 THEN (a[3] - {mean}) / sqrt({var} / 7) ELSE 1 END"), "abs": r("a[1]"), "sorted": r("s[2]"), "descending": r("s[6]"), "order": "array_to_string(list_transform(list_sort(list_transform(v, lambda x, i: {'v': x, 'i': i - 1})), lambda p: p.i), ',')",
         "found": "(coalesce(list_position(sv, 3.0), 0) - 1)::INT", "leftmost": "(CASE WHEN list_contains(v, 3.0) THEN len(list_filter(v, lambda x: x < 3)) ELSE len(list_filter(v, lambda x: x < 3)) - 1 END)::INT", "rightmost": "(CASE WHEN list_contains(v, 3.0) THEN len(list_filter(v, lambda x: x <= 3)) - 1 ELSE len(list_filter(v, lambda x: x <= 3)) END)::INT",
     }
-    _add("array_statistics", "bars", key, columns, sql, prepare, "e", before)
-    m = M.put(M.put(M.put(M.new(), F.lit("a"), F.col("open")), F.lit("b"), F.col("close")), F.lit("a"), F.col("high"))
-    more = M.put(M.put(M.new(), F.lit("c"), F.lit(1.0)), F.lit("b"), F.lit(2.0))
-    columns = {"size": M.size(m), "get": M.get(m, F.lit("a")), "missing": M.get(m, F.lit("z")), "has": M.contains(m, F.lit("b")), "keys": F.array_join(M.keys(M.put_all(m, more)), ","), "values": A.sum_(M.values(M.put_all(m, more))), "removed": M.remove(m, F.lit("b"))[0], "left": M.size(M.remove(m, F.lit("b"))[1]), "clear": M.size(M.clear(m)), "copy": M.size(M.copy(m))}
+    _add("array_statistics", "bars", key, statistics, sql, prepare, "e", before)
+    def entries() -> dict:
+        m = M.put(M.put(M.put(M.new(), F.lit("a"), F.col("open")), F.lit("b"), F.col("close")), F.lit("a"), F.col("high"))
+        more = M.put(M.put(M.new(), F.lit("c"), F.lit(1.0)), F.lit("b"), F.lit(2.0))
+        columns = {"size": M.size(m), "get": M.get(m, F.lit("a")), "missing": M.get(m, F.lit("z")), "has": M.contains(m, F.lit("b")), "keys": F.array_join(M.keys(M.put_all(m, more)), ","), "values": A.sum_(M.values(M.put_all(m, more))), "removed": M.remove(m, F.lit("b"))[0], "left": M.size(M.remove(m, F.lit("b"))[1]), "clear": M.size(M.clear(m)), "copy": M.size(M.copy(m))}
+        return columns
+
     sql = {"size": "2::INT", "get": r("high"), "missing": "NULL::DOUBLE", "has": "true", "keys": "'a,b,c'", "values": r("high + 3"), "removed": r("close"), "left": "1::INT", "clear": "0::INT", "copy": "2::INT"}
-    _add("map_functions", "bars", key, columns, sql)
+    _add("map_functions", "bars", key, entries, sql)
 
 
-def matrix_queries() -> None:
-    key = ["sym", "bar_index"]
+def _matrices() -> tuple:
+    """Two matrices of 2 by 2, their cells as text, and the first with a row and with a column more."""
     m = X.make(F.lit(2), F.lit(2), F.array("open", "high", "low", "close"))
     n = X.make(F.lit(2), F.lit(2), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)))
     flat = lambda x: F.array_join(F.transform(x["data"], lambda v: F.format_number(F.round(v + 1e-9, 4), 4)), " ")
     tall = X.add_row(m, 1, F.array("volume", "close"))
     wide = X.add_col(m, 0, F.array("volume", "close"))
-    columns = {
-        "rows": X.rows(tall), "columns": X.columns(wide), "count": X.elements_count(tall), "get": X.get(m, F.lit(1), F.lit(0)), "set": flat(X.set_(m, F.lit(0), F.lit(1), F.lit(9.0))), "fill": flat(X.fill(m, F.lit(5.0), 1, 2, 0, 1)), "concat": flat(X.concat(m, n)), "copy": flat(X.copy(m)), "transpose": flat(X.transpose(tall)),
-        "reverse": flat(X.reverse(tall)), "reshape": flat(X.reshape(tall, 2, 3)), "row": A.sum_(X.row(tall, F.lit(1))), "col": A.sum_(X.col_(tall, F.lit(0))), "wide": flat(wide), "no_row": flat(X.remove_row(tall, 0)[1]), "no_col": flat(X.remove_col(wide, 1)[1]), "swap_rows": flat(X.swap_rows(tall, 0, 2)), "swap_cols": flat(X.swap_columns(wide, 0, 2)),
-        "sort": flat(X.sort(n, 0, False)), "sub": flat(X.submatrix(tall, 1, 3, 1, 2)), "new": flat(X.new(2, 3, 1.5)),
-    }
+    return m, n, flat, tall, wide
+
+
+def matrix_queries() -> None:
+    key = ["sym", "bar_index"]
+    def shape() -> dict:
+        m, n, flat, tall, wide = _matrices()
+        columns = {
+            "rows": X.rows(tall), "columns": X.columns(wide), "count": X.elements_count(tall), "get": X.get(m, F.lit(1), F.lit(0)), "set": flat(X.set_(m, F.lit(0), F.lit(1), F.lit(9.0))), "fill": flat(X.fill(m, F.lit(5.0), 1, 2, 0, 1)), "concat": flat(X.concat(m, n)), "copy": flat(X.copy(m)), "transpose": flat(X.transpose(tall)),
+            "reverse": flat(X.reverse(tall)), "reshape": flat(X.reshape(tall, 2, 3)), "row": A.sum_(X.row(tall, F.lit(1))), "col": A.sum_(X.col_(tall, F.lit(0))), "wide": flat(wide), "no_row": flat(X.remove_row(tall, 0)[1]), "no_col": flat(X.remove_col(wide, 1)[1]), "swap_rows": flat(X.swap_rows(tall, 0, 2)), "swap_cols": flat(X.swap_columns(wide, 0, 2)),
+            "sort": flat(X.sort(n, 0, False)), "sub": flat(X.submatrix(tall, 1, 3, 1, 2)), "new": flat(X.new(2, 3, 1.5)),
+        }
+        return columns
+
     f = lambda *e: " || ' ' || ".join(f"format('{{:,.4f}}', round(({x})::DOUBLE + 1e-9, 4))" for x in e)
     o, h, lo, c, v = "open", "high", "low", "close", "volume"
     sql = {
         "rows": "3::INT", "columns": "3::INT", "count": "6::INT", "get": r("low"), "set": f(o, "9", lo, c), "fill": f(o, h, "5", c), "concat": f(o, h, lo, c, "1", "2", "3", "4"), "copy": f(o, h, lo, c), "transpose": f(o, v, lo, h, c, c), "reverse": f(c, lo, c, v, h, o), "reshape": f(o, h, v, c, lo, c), "row": r("volume + close"),
         "col": r("open + volume + low"), "wide": f(v, o, h, c, lo, c), "no_row": f(v, c, lo, c), "no_col": f(v, h, c, c), "swap_rows": f(lo, c, v, c, o, h), "swap_cols": f(h, o, v, c, lo, c), "sort": f("3", "4", "1", "2"), "sub": f(c, c), "new": f(*["1.5"] * 6),
     }
-    _add("matrix_shape", "bars", key, columns, sql)
-    k = X.make(F.lit(2), F.lit(2), F.array(F.col("volume") + 4, F.lit(1.0), F.lit(1.0), F.lit(3.0)))
-    columns = {
-        "sum": flat(X.sum_(m, n)), "diff": flat(X.diff(m, n)), "plus": flat(X.sum_(m, 2.0)), "minus": flat(X.diff(1.0, m)), "mult": flat(X.mult(m, n)), "times": flat(X.mult(m, 3.0)), "vector": A.sum_(X.mult_array(m, F.array(F.lit(1.0), F.lit(2.0)))), "kron": flat(X.kron(n, n)), "trace": X.trace(m), "avg": X.avg(m), "min": X.min_(m), "max": X.max_(m),
-        "median": X.median(m), "mode": X.mode(X.make(F.lit(1), F.lit(3), F.array("volume", "volume", F.lit(-1.0)))), "det": X.det(m), "inv": flat(X.inv(k)), "pinv": flat(X.pinv(n)), "pow": flat(X.pow_(n, 3)), "rank": X.rank(k), "top": F.get(X.eigenvalues(k), F.lit(0)), "vector0": F.get(X.eigenvectors(k)["data"], F.lit(0)),
-    }
+    _add("matrix_shape", "bars", key, shape, sql)
+    def algebra() -> dict:
+        m, n, flat, tall, wide = _matrices()
+        k = X.make(F.lit(2), F.lit(2), F.array(F.col("volume") + 4, F.lit(1.0), F.lit(1.0), F.lit(3.0)))
+        columns = {
+            "sum": flat(X.sum_(m, n)), "diff": flat(X.diff(m, n)), "plus": flat(X.sum_(m, 2.0)), "minus": flat(X.diff(1.0, m)), "mult": flat(X.mult(m, n)), "times": flat(X.mult(m, 3.0)), "vector": A.sum_(X.mult_array(m, F.array(F.lit(1.0), F.lit(2.0)))), "kron": flat(X.kron(n, n)), "trace": X.trace(m), "avg": X.avg(m), "min": X.min_(m), "max": X.max_(m),
+            "median": X.median(m), "mode": X.mode(X.make(F.lit(1), F.lit(3), F.array("volume", "volume", F.lit(-1.0)))), "det": X.det(m), "inv": flat(X.inv(k)), "pinv": flat(X.pinv(n)), "pow": flat(X.pow_(n, 3)), "rank": X.rank(k), "top": F.get(X.eigenvalues(k), F.lit(0)), "vector0": F.get(X.eigenvectors(k)["data"], F.lit(0)),
+        }
+        return columns
+
     det = "((volume + 4) * 3 - 1)"
     top = "((volume + 7) + sqrt((volume + 1) * (volume + 1) + 4)) / 2"
     sql = {
@@ -224,16 +262,20 @@ def matrix_queries() -> None:
         "min": r("least(open, high, low, close)"), "max": r("greatest(open, high, low, close)"), "median": r("(open + high + low + close - least(open, high, low, close) - greatest(open, high, low, close)) / 2"), "mode": r("volume"), "det": r("open * close - high * low"), "inv": f(f"3 / {det}", f"-1 / {det}", f"-1 / {det}", f"(volume + 4) / {det}"),
         "pinv": f("-2", "1", "1.5", "-0.5"), "pow": f("37", "54", "81", "118"), "rank": "2::BIGINT", "top": r(top), "vector0": r(f"({top} - 3) / sqrt(({top} - 3) * ({top} - 3) + 1)"),
     }
-    _add("matrix_algebra", "bars", key, columns, sql)
-    flag = F.when(F.col("bar_index") % 2 == 0, 1.0).otherwise(0.0)
-    s = X.make(F.lit(2), F.lit(2), F.array(flag, F.lit(0.0), F.lit(0.0), flag))
-    z = X.make(F.lit(2), F.lit(2), F.array(F.lit(0.0), flag, -flag, F.lit(0.0)))
-    columns = {
-        "square": X.is_square(tall), "binary": X.is_binary(s), "diagonal": X.is_diagonal(s), "anti": X.is_antidiagonal(z), "triangular": X.is_triangular(z), "identity": X.is_identity(s), "symmetric": X.is_symmetric(z), "antisymmetric": X.is_antisymmetric(z), "stochastic": X.is_stochastic(s), "zero": X.is_zero(z),
-    }
+    _add("matrix_algebra", "bars", key, algebra, sql)
+    def tests() -> dict:
+        m, n, flat, tall, wide = _matrices()
+        flag = F.when(F.col("bar_index") % 2 == 0, 1.0).otherwise(0.0)
+        s = X.make(F.lit(2), F.lit(2), F.array(flag, F.lit(0.0), F.lit(0.0), flag))
+        z = X.make(F.lit(2), F.lit(2), F.array(F.lit(0.0), flag, -flag, F.lit(0.0)))
+        columns = {
+            "square": X.is_square(tall), "binary": X.is_binary(s), "diagonal": X.is_diagonal(s), "anti": X.is_antidiagonal(z), "triangular": X.is_triangular(z), "identity": X.is_identity(s), "symmetric": X.is_symmetric(z), "antisymmetric": X.is_antisymmetric(z), "stochastic": X.is_stochastic(s), "zero": X.is_zero(z),
+        }
+        return columns
+
     even = "(bar_index % 2 = 0)"
     sql = {"square": "false", "binary": "true", "diagonal": "true", "anti": "true", "triangular": f"NOT {even}", "identity": even, "symmetric": f"NOT {even}", "antisymmetric": "true", "stochastic": even, "zero": f"NOT {even}"}
-    _add("matrix_tests", "bars", key, columns, sql)
+    _add("matrix_tests", "bars", key, tests, sql)
 
 
 def join_queries() -> None:

@@ -1 +1 @@
-
+"""Bars that arrive one by one."""
