@@ -71,3 +71,23 @@ def _trades(spark, sf_dir):
 
 QUERIES["script_strategy"] = _trades
 SQL["script_strategy"] = strategies.SQL["strategy_reversing"]
+
+SECURITY = """//@version=6
+indicator("requests")
+plot(request.security(syminfo.tickerid, "360", close), "value")
+plot(request.security(syminfo.tickerid, "360", ta.sma(close, 3)), "mean")
+plot(request.security(syminfo.tickerid, "360", close, gaps = barmerge.gaps_on), "gaps")
+"""
+
+
+def _requests(spark, sf_dir):
+    big = event_bars(spark, sf_dir, 6 * HOUR).withColumns({"tf": F.lit("360"), "tf_millis": F.lit(6 * HOUR)})
+    return indicators.tidy(run_script(event_bars(spark, sf_dir, HOUR), SECURITY, requested=big, millis=HOUR), "value", "mean", "gaps")
+
+
+QUERIES["script_security"] = _requests
+SQL["script_security"] = f"""WITH {bars_sql()}, {bars_sql(6 * HOUR, 'big')},
+closed AS (SELECT *, coalesce(least(time + {6 * HOUR}, lead(time) OVER w), time + {6 * HOUR}) AS stamp, CASE WHEN count(*) OVER (w ROWS 2 PRECEDING) = 3 THEN avg(close) OVER (w ROWS 2 PRECEDING) END AS m FROM big WINDOW w AS (PARTITION BY sym ORDER BY time)),
+chart AS (SELECT *, coalesce(least(time + {HOUR}, lead(time) OVER w), time + {HOUR}) AS ends FROM bars WINDOW w AS (PARTITION BY sym ORDER BY time)),
+v AS (SELECT c.sym, c.bar_index, b.close AS value, b.m AS mean, b.stamp, lag(c.ends) OVER (PARTITION BY c.sym ORDER BY c.time) AS was FROM chart c ASOF LEFT JOIN closed b ON c.sym = b.sym AND c.ends >= b.stamp),
+x AS (SELECT *, CASE WHEN was IS NULL OR stamp > was THEN value END AS gaps FROM v) {indicators.tidy_sql(['value', 'mean', 'gaps'], 'x')}"""
