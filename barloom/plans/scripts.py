@@ -17,12 +17,20 @@ SCRIPTS = {
     "script_rsi": ('//@version=5\nindicator("rsi")\nf(src, n) =>\n    ta.rsi(src, n)\nplot(f(close, 14), "value")\n', "ta_rsi"),
     "script_hma": ('//@version=6\nindicator("hull")\nhull(float x, simple int n) =>\n    d = 2 * ta.wma(x, n / 2 >= 1 ? int(n / 2) : 1) - ta.wma(x, n)\n    ta.wma(d, 4)\nplot(hull(close, 16), "value")\n', "ta_hma"),
     "script_highest": ('//@version=4\nstudy("old names")\nplot(highest(20), title="value")\n', "ta_highest"),
-    "script_stoch": ('//@version=6\nindicator("stoch")\nlow14 = ta.lowest(14)\nhigh14 = ta.highest(14)\nspan = high14 - low14\nplot(span != 0 ? 100 * (close - low14) / span : na, "value")\n', "ta_stoch"),
+    "script_stochastic": ('//@version=6\nindicator("stoch")\nlow14 = ta.lowest(14)\nhigh14 = ta.highest(14)\nspan = high14 - low14\nplot(span != 0 ? 100 * (close - low14) / span : na, "value")\n', "ta_stoch"),
     "script_cmo": ('//@version=6\nindicator("cmo")\nd = close - close[1]\nup = math.sum(math.max(d, 0), 14)\ndown = math.sum(math.max(-d, 0), 14)\nplot(100 * (up - down) / (up + down), "value")\n', "ta_cmo"),
     "script_mom": ('//@version=6\nindicator("history")\nx = close\nplot(x - x[10], "value")\n', "ta_mom"),
     "script_loop": ('//@version=6\nindicator("loop")\ntotal = 0.0\nready = bar_index >= 13\nif ready\n    for i = 0 to 13\n        total += close[i]\nplot(ready ? total / 14 : na, "value")\n', "ta_sma"),
     "script_array": ('//@version=6\nindicator("array")\nvar float[] held = array.new<float>()\nheld.push(close)\nif held.size() > 14\n    held.shift()\nfloat value = na\nif held.size() == 14\n    value := held.avg()\nplot(value, "value")\n', "ta_sma"),
 }
+SCRIPTS |= {
+    f"script_{k}": (f'//@version=6\nindicator("{k}")\nplot(ta.{call}, "value")\n', f"ta_{k}")
+    for k, call in {
+        "cci": "cci(close, 14)", "dev": "dev(close, 14)", "cog": "cog(close, 10)", "correlation": "correlation(close, open, 14)", "covariance": "covariance(close, open, 14)", "dema": "dema(close, 9)", "tema": "tema(close, 9)", "tsi": "tsi(close, 5, 13)", "alma": "alma(close, 9, 0.85, 6)",
+        "swma": "swma(close)", "mode": "mode(volume, 14)", "percentile_linear_interpolation": "percentile_linear_interpolation(close, 14, 30)", "percentrank": "percentrank(close, 14)", "rci": "rci(close, 14)", "bbw": "bbw(close, 14, 2)", "median": "median(close, 14)", "range": "range(close, 14)",
+        "linreg": "linreg(close, 14, 2)", "atr": "atr(14)", "ema": "ema(close, 14)", "rma": "rma(close, 14)", "roc": "roc(close, 5)", "wma": "wma(close, 14)",
+    }.items()
+}
 for _name, (_source, _like) in SCRIPTS.items():
     def _query(spark, sf_dir, source=_source):
         b = run_script(event_bars(spark, sf_dir, HOUR), source)
