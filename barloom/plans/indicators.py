@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import recursive, ta
@@ -19,9 +19,14 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def rounded(c: Column) -> Column:
+    """Six digits, as double arithmetic: Spark's own round goes through decimals, row by row."""
+    return F.rint((c + 1e-9) * 1e6) / 1e6
+
+
 def tidy(b: DataFrame, *names: str) -> DataFrame:
     kinds = dict(b.dtypes)
-    return b.select("sym", "bar_index", *[F.round(F.col(n) + 1e-9, 6).alias(n) if kinds[n] == "double" else F.col(n) for n in names])
+    return b.select("sym", "bar_index", *[rounded(F.col(n)).alias(n) if kinds[n] == "double" else F.col(n) for n in names])
 
 
 def tidy_sql(names: list[str], source: str = "v") -> str:
@@ -163,7 +168,7 @@ def windows() -> None:
     for kind, exprs in levels.items():
         def points(spark: SparkSession, sf_dir: str, kind: str = kind, k: int = len(exprs)) -> DataFrame:
             b = ta.pivot_point_levels(event_bars(spark, sf_dir, HOUR).withColumn("a", F.col("bar_index") % 24 == 0), kind, "a", "levels")
-            return b.select("sym", "bar_index", *[F.round(F.col("levels")[i] + 1e-9, 6).alias(f"level{i}") for i in range(k)])
+            return b.select("sym", "bar_index", *[rounded(F.col("levels")[i]).alias(f"level{i}") for i in range(k)])
 
         QUERIES[f"ta_pivot_points_{kind.lower()}"] = points
         body = ", ".join(f"round({e} + 1e-9, 6) AS level{i}" for i, e in enumerate(exprs))
@@ -224,7 +229,7 @@ def recurrences() -> None:
         ratio = f"rt AS (SELECT sym, bar_index, CASE WHEN volume {op} lag(volume) OVER {ORDER} AND lag(close) OVER {ORDER} <> 0 THEN close / lag(close) OVER {ORDER} ELSE 1 END AS x FROM bars), pr AS (SELECT sym, bar_index, product(x) OVER {SO_FAR} AS y FROM rt)"
         put(f"ta_{name}", [("value", name)], {"value": "pr.y"}, [ratio], ["pr"])
         # a running product of returns spans many magnitudes: its logarithm is compared
-        QUERIES[f"ta_{name}"] = lambda spark, sf_dir, name=name: recursive.recur(event_bars(spark, sf_dir, HOUR), [("v", name)]).select("sym", "bar_index", F.round(F.log("v") + 1e-9, 6).alias("value"))
+        QUERIES[f"ta_{name}"] = lambda spark, sf_dir, name=name: recursive.recur(event_bars(spark, sf_dir, HOUR), [("v", name)]).select("sym", "bar_index", rounded(F.log("v")).alias("value"))
         SQL[f"ta_{name}"] = SQL[f"ta_{name}"].replace("round(pr.y + 1e-9, 6)", "round(ln(pr.y) + 1e-9, 6)")
     band = [tr, ema_sql("a", "rng", "x", 10, "(1.0 / 10)")]
     walk = """c0 AS (SELECT b.sym, b.bar_index, b.close, lag(b.close) OVER (PARTITION BY b.sym ORDER BY b.bar_index) AS c1, (b.high + b.low) / 2 + 3 * a.y AS bu, (b.high + b.low) / 2 - 3 * a.y AS bl FROM bars b LEFT JOIN a ON a.sym = b.sym AND a.bar_index = b.bar_index),

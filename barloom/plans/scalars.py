@@ -23,7 +23,8 @@ SQL: dict = {}
 
 
 def r6(c):
-    return F.round(c + 1e-9, 6)
+    """Six digits, as double arithmetic: Spark's own round goes through decimals, row by row."""
+    return F.rint((c + 1e-9) * 1e6) / 1e6
 
 
 def _add(name: str, table: str, key: list[str], columns: Callable[[], dict], sql: dict[str, str], prepare=None, source: str | None = None, before: str = "") -> None:
@@ -77,7 +78,7 @@ def maths() -> None:
         half = F.col("l_linenumber") - 3.5
         return {k: getattr(N, k)(F.expr(e)) for k, e in unary.items()} | {
             "abs": N.abs_(half), "max": N.max_(p, q, half), "min": N.min_(p, q, half), "avg": N.avg(p, q, half), "floor": N.floor(half), "ceil": N.ceil(half), "trunc": N.trunc(half), "sign": N.sign(half), "round": N.round_(half),
-            "round2": N.round_(half / 7, 2), "mintick": N.round_to_mintick(p, 0.25), "pow": N.pow_(q, F.lit(0.5)), "hypot": N.hypot(p, q),
+            "round2": N.round_(half / 7, 2), "mintick": N.round_to_mintick(p, 0.25), "pow": N.pow_(q, F.lit(0.5)), "hypot": N.hypot(q, F.col("l_tax")),
         }
 
     sql = {k: r(f"CASE WHEN abs({e}) <= 1 THEN {k}({e}) END" if k in ("acos", "asin") else f"{names.get(k, k)}({e})") for k, e in unary.items()}
@@ -85,7 +86,7 @@ def maths() -> None:
     sql |= {
         "abs": r(f"abs({h})::DOUBLE"), "max": r(f"greatest(l_extendedprice, l_quantity, {h})"), "min": r(f"least(l_extendedprice, l_quantity, {h})"), "avg": r(f"(l_extendedprice + l_quantity + {h}) / 3"), "floor": f"floor({h})::BIGINT", "ceil": f"ceil({h})::BIGINT",
         "trunc": f"trunc({h})::BIGINT", "sign": r(f"sign({h})::DOUBLE"), "round": f"floor({h} + 0.5)::BIGINT", "round2": r(f"floor(({h}::DOUBLE / 7) * 100 + 0.5) / 100"), "mintick": r("floor(l_extendedprice / 0.25 + 0.5) * 0.25"), "pow": r("power(l_quantity, 0.5)"),
-        "hypot": r("sqrt(l_extendedprice * l_extendedprice + l_quantity * l_quantity)"),
+        "hypot": r("sqrt(l_quantity * l_quantity + l_tax * l_tax)"),
     }
     _add("math_functions", "lineitem", ["l_orderkey", "l_linenumber"], make, sql)
 

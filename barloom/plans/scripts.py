@@ -74,7 +74,7 @@ if down
 
 def _trades(spark, sf_dir):
     t = run_strategy(event_bars(spark, sf_dir, HOUR), REVERSING)
-    return t.select("sym", "number", "entry_id", "side", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("size", "entry_price", "exit_price", "profit", "commission")], "entry_bar", "exit_bar")
+    return t.select("sym", "number", "entry_id", "side", *[indicators.rounded(F.col(c)).alias(c) for c in ("size", "entry_price", "exit_price", "profit", "commission")], "entry_bar", "exit_bar")
 
 
 QUERIES["script_strategy"] = _trades

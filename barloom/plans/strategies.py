@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from barloom.operators import outputs, ta
 from barloom.operators.strategy import LONG, SHORT, Broker, Settings, backtest
+from barloom.plans import indicators
 from barloom.sources.bars import HOUR, bars_sql, event_bars
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def _r(c):
-    return F.round(c + 1e-9, 6)
+_r = indicators.rounded
 
 
 def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
