@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -154,12 +154,13 @@ def _shared(entries: DataFrame) -> DataFrame:
     return entries.select(*fields).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node").mapInArrow(run, schema)
 
 
-def _possible(n: Column, place: Column, rank: Column, m: Column, other: Column, other_rank: Column, percent: int) -> Column:
+def _possible(n: Column, place: Column, m: Column, other: Column, percent: int) -> Column:
     """Length and positional filter of sets of sizes n and m that share the shingle at these places of their orders.
 
-    ``rank`` bounds the shingles up to that place, itself included, that any two sets share.
+    No pair that reaches the threshold fails it at the first shingle that the two share, in their common order: all that
+    they have in common stands from there on.
     """
-    most = F.least(rank, other_rank) + F.least(n - place - 1, m - other - 1)
+    most = F.least(n - place, m - other)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
 
 
@@ -256,21 +257,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     entries = listed.select(F.col("e.prefix").alias("shingle"), F.pmod(F.xxhash64("node"), F.col("e.salts")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "node", "n", "place")
     shared = through_table(_shared(entries), "shared")
 
-    star = shared.where((F.col("leader") != F.col("node")) & _possible(F.col("n"), F.col("place"), F.col("place") + 1, F.col("leader_n"), F.col("leader_place"), F.col("leader_place") + 1, percent))
+    star = shared.where((F.col("leader") != F.col("node")) & _possible(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
     star = through_table(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
     links = through_table(verified(own, star, "doc_id", "text", width, percent), "links")
     labels = components(links)
 
     # what has one label by now needs no further comparison
     known = labels.select(F.col("node").alias("_n"), "label")
-    # shingles of a prefix that no other prefix has are in no intersection up to a shared one: only the others are numbered
-    rank = F.row_number().over(Window.partitionBy("node", "n").orderBy("place"))
-    ranked = shared.select("shingle", "node", "n", "place", rank.alias("rank"))
-    named = ranked.join(known, F.col("node") == F.col("_n"), "left").select("shingle", "node", "n", "place", "rank", F.coalesce("label", "node").alias("label"))
+    named = shared.select("shingle", "node", "n", "place").join(known, F.col("node") == F.col("_n"), "left").select("shingle", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy(F.col("shingle").alias("_s")).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("_s")
     left = through_table(named.join(mixed, F.col("shingle") == F.col("_s"), "left_semi"), "mixed")
-    other = left.select(F.col("shingle").alias("_s"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("place").alias("_place"), F.col("rank").alias("_rank"), F.col("label").alias("_label"))
-    rest = left.join(other, (F.col("shingle") == F.col("_s")) & (F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & _possible(F.col("n"), F.col("place"), F.col("rank"), F.col("_n"), F.col("_place"), F.col("_rank"), percent))
+    other = left.select(F.col("shingle").alias("_s"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("place").alias("_place"), F.col("label").alias("_label"))
+    rest = left.join(other, (F.col("shingle") == F.col("_s")) & (F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & _possible(F.col("n"), F.col("place"), F.col("_n"), F.col("_place"), percent))
     rest = rest.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
     rest = through_table(rest.join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
