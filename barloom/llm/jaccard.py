@@ -31,6 +31,8 @@ from .shared import through_table
 WIDTH = 4
 #: Threshold in hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Width and threshold of a corpus's near copies, looser than the query's.
+CORPUS_WIDTH, CORPUS_PERCENT = 5, 80
 #: Counters for shingles, and bits that tell which texts are needed: both of fixed size.
 COUNT_BITS, NEED_BITS = 20, 24
 #: Rows of one bucket in one task, by the estimate of the counters; a larger bucket is salted.
@@ -279,11 +281,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return members.join(found, F.col("node") == F.col("_n"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node", "doc_id").alias("component_id"))
 
 
-def first_of_group(docs: DataFrame) -> DataFrame:
+def first_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORPUS_PERCENT) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component; of rows that repeat one id, all or none."""
-    found = jaccard_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_later")).distinct()
+    found = jaccard_components(docs, width=width, percent=percent).where("doc_id != component_id").select(F.col("doc_id").alias("_later")).distinct()
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_later"]), "left_anti")
 
 
 def op6_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), width=WIDTH, percent=PERCENT)

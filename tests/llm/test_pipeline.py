@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline
 from barloom.llm import packing, rules
 
+from .conftest import prose
 from .test_decontaminate_and_jaccard import brute_components, brute_hits
 from .test_rules_mixing_sharding import brute_counts
 from .test_words_and_packing import unpacked
@@ -32,3 +33,15 @@ def test_stages(spark, small):
         assert tok.decode([i for _, x in sorted(pieces[d]) for i in x][:-1]) == t
     assert sum(len(np.frombuffer(r["ids"], np.uint16)) for r in rows) == len(rows) * packing.ROW_TOKENS
     assert len(rules.RULES) == 7
+
+
+def test_near_copies_between_the_thresholds(spark):
+    """Five-word Jaccard of 0.8 or more, four-word Jaccard under 0.85: the query leaves them apart, the pipeline doesn't."""
+    base = prose(31, 1000).split()
+    scattered = ["new%d" % i if i % 50 == 25 else w for i, w in enumerate(base)]
+    scattered[10] = "new"
+    rows = [(1, " ".join(base)), (2, " ".join(base) + " " + prose(32, 200)), (3, " ".join(base[:830])), (4, " ".join(scattered)), (5, prose(33, 1000))]
+    near = {k: brute_components([rows[0], rows[k]]) for k in (1, 2, 3)}
+    assert all(x[rows[k][0]][1] == rows[k][0] for k, x in near.items())
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
