@@ -95,18 +95,24 @@ def mix(docs: DataFrame, shares: dict[str | None, int], block_docs: int = BLOCK_
     )
 
 
-def mixed_order(docs: DataFrame, shares: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS, partitions: int | None = None) -> DataFrame:
+def in_order(docs: DataFrame, at: str, partitions: int | None = None) -> DataFrame:
+    """``docs`` sorted by ``at`` over all partitions: each is a stretch of the order, and they follow each other."""
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartitionByRange(n, at).sortWithinPartitions(at)
+
+
+def mixed_order(docs: DataFrame, shares: dict[str | None, int] | None = None, block_docs: int = BLOCK_DOCS, partitions: int | None = None, at: str | None = None) -> DataFrame:
     """All rows of ``docs`` with their own columns, laid out in the order of the mixture: each partition is a stretch of it.
 
-    Only ids and sources are scheduled; the texts are joined to their slots and sorted once.
+    Only ids and sources are scheduled; the texts are joined to their slots and sorted once. Files that are written from
+    the rows are not read again in their order: a column named ``at``, if any, keeps each row's place for ``in_order``.
     """
     shares = tempered_shares(docs) if shares is None else shares
     placed = mix(docs, shares, block_docs).select(F.col("doc_id").alias("_id"), "slot", "place")
     placed = placed.groupBy("_id").agg(F.min(F.struct("slot", "place", "_id")).alias("_at"))  # rows that repeat an id stay together
     held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"))
     joined = held.join(placed, F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", "_at")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "_at").sortWithinPartitions("_at").select("_row.*")
+    return in_order(joined, "_at", partitions).select("_row.*", *([F.col("_at").alias(at)] if at else []))
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

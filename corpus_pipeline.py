@@ -3,7 +3,8 @@
 Each stage takes the documents that the one before kept, and decides: the quality rules reject, of each group of near
 copies the first stays, documents with benchmark passages go, the rest is laid out in the order of a mixture of the
 sources, and that order is packed, stretch by stretch, into rows of token ids. What a stage returns is written as
-Parquet in the shared folder and read again, so lineage ends there.
+Parquet in the shared folder and read again, so lineage ends there. Files are read again longest first, so the mixture's
+order goes with the rows as a column, by which they are sorted again before they are packed.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.decontaminate import decontaminate
 from barloom.llm.jaccard import first_of_group
-from barloom.llm.mixing import mixed_order
+from barloom.llm.mixing import in_order, mixed_order
 from barloom.llm.packing import packed
 from barloom.llm.rules import quality_filter
 from barloom.llm.shared import through_table
 
+#: Column of a document's place in the mixture.
+PLACE = "mixture_place"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_filter(docs)
@@ -31,11 +35,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_order(docs)
+    return mixed_order(docs, at=PLACE)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed(docs)
+    return packed(in_order(docs, PLACE))
 
 
 STAGES = [

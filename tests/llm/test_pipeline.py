@@ -3,7 +3,8 @@
 import numpy as np
 
 import corpus_pipeline
-from barloom.llm import packing, rules
+from barloom.llm import mixing, packing, rules
+from barloom.llm.shared import through_table
 
 from .conftest import prose
 from .test_decontaminate_and_jaccard import brute_components, brute_hits
@@ -45,3 +46,18 @@ def test_near_copies_between_the_thresholds(spark):
     assert all(x[rows[k][0]][1] == rows[k][0] for k, x in near.items())
     kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
+def test_packed_in_the_order_of_the_mixture(spark):
+    """Later stretches of the mixture have longer files, which a scan reads first."""
+    ids = spark.createDataFrame([(i, "abc"[min(i % 7, 2)]) for i in range(400)], "doc_id long, source string")
+    order = sorted(mixing.mix(ids, mixing.tempered_shares(ids)).collect(), key=lambda r: (r["slot"], r["place"]))
+    at = {r["doc_id"]: i for i, r in enumerate(order)}
+    docs = spark.createDataFrame([(r["doc_id"], r["source"], prose(i, 20 + i)) for i, r in enumerate(order)], "doc_id long, source string, text string")
+    mixed = through_table(corpus_pipeline.source_mixing(spark, docs, ""), "mixed")
+    assert len(mixed.inputFiles()) > 2
+    found = {}
+    for r in corpus_pipeline.token_packing(spark, mixed, "").collect():
+        found.setdefault(r["matrix"], set()).update(at[d] for d in r["doc_ids"])
+    assert len(found) > 2
+    assert [i for _, x in sorted(found.items()) for i in sorted(x)] == list(range(400))
