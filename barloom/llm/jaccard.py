@@ -287,5 +287,21 @@ def first_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CO
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_later"]), "left_anti")
 
 
+def one_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORPUS_PERCENT) -> DataFrame:
+    """One row of ``docs`` of each component: that of the smallest id, rows without an id last, any of rows that repeat it.
+
+    Rows are compared by numbers of their own, so those that share an id, or have none, are rows like all others. The
+    numbers are written with the rows in the shared folder, so that they stay. Rows without words all stay.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("_node"), F.struct("*").alias("_row"))
+    numbered = through_table(numbered, "numbered")
+    found = jaccard_components(numbered, "_node", "_row.text", width, percent).select(F.col("doc_id").alias("_member"), "component_id")
+    found = through_table(found, "found")
+    named = found.join(numbered.select("_node", F.col("_row.doc_id").alias("_id")), F.col("_member") == F.col("_node"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_node")).alias("_first")).select(F.col("_first._node").alias("_kept"))
+    later = found.join(first, F.col("_member") == F.col("_kept"), "left_anti").select("_member")
+    return numbered.join(later, F.col("_node") == F.col("_member"), "left_anti").select("_row.*")
+
+
 def op6_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), width=WIDTH, percent=PERCENT)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.decontaminate import decontaminate
-from barloom.llm.jaccard import first_of_group
+from barloom.llm.jaccard import one_of_group
 from barloom.llm.mixing import in_order, mixed_order
 from barloom.llm.packing import packed
 from barloom.llm.rules import quality_filter
@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return first_of_group(docs)
+    return one_of_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

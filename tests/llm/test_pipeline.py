@@ -61,3 +61,12 @@ def test_packed_in_the_order_of_the_mixture(spark):
         found.setdefault(r["matrix"], set()).update(at[d] for d in r["doc_ids"])
     assert len(found) > 2
     assert [i for _, x in sorted(found.items()) for i in sorted(x)] == list(range(400))
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated rows, copies without an id, and unlike texts under one id."""
+    a, b, c, d = (prose(40 + i, 100) for i in range(4))
+    rows = [(7, a), (7, a), (9, a + " more"), (None, a), (None, b), (None, b), (3, c), (3, d), (3, d), (5, d + " more"), (None, None), (None, "")]
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(str, kept.collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in [(7, a), (None, b), (3, c), (3, d), (None, None), (None, "")])
