@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,7 +229,9 @@ def verified(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: i
             a, b = batch.column(0), batch.column(2)
             ids = a.to_numpy()
             fresh = np.ones(len(ids), bool)
-            fresh[1:] = ids[1:] != ids[:-1]
+            # an id may stand for several texts
+            other = pc.not_equal(batch.column(1)[1:], batch.column(1)[:-1]).fill_null(True).to_numpy(zero_copy_only=False)
+            fresh[1:] = (ids[1:] != ids[:-1]) | other
             own = np.cumsum(fresh) - 1
             left, right = _sets(batch.column(1).filter(pa.array(fresh)), width), _sets(batch.column(3), width)
             keep = [_reaches(left[1][left[0][i] : left[0][i + 1]], right[1][right[0][k] : right[0][k + 1]], percent) for k, i in enumerate(own)]

@@ -129,6 +129,13 @@ def test_jaccard_edges(clashing):
     assert jaccard.jaccard_components(clashing.limit(0)).collect() == []
 
 
+def test_unlike_texts_of_one_id(spark):
+    a, b = prose(51, 100), prose(52, 100)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in got] == [1] * 4
+
+
 def test_jaccard_whole_table(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = jaccard.op6_prefix_jaccard(spark, small).collect()
