@@ -17,6 +17,7 @@ QUERIES = {
 SQL = {
     "op1_source_mixing": mixing.SQL1,
     "op2_suffix_decontamination": decontaminate.SQL2,
+    "op6_prefix_jaccard": jaccard.SQL6,
     "op5_arc_to_warc": arc.SQL5,
     "op10_quality_rules": rules.SQL10,
 }

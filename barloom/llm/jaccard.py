@@ -1,17 +1,19 @@
 """Similarity self-join of documents by the Jaccard index of their word shingles.
 
-1. A table of fixed size counts shingles over all documents; by it every set is ordered, rare shingles first.
-2. Of sets that agree in all (copies, but for the order and blanks), one stands for all: the smallest document id.
+1. A table of counters counts shingles over all documents; by it every set is ordered, rare shingles first.
+2. Of sets that agree in all (copies, but for the order and blanks), one stands for all; its row is their node. What
+   follows knows nodes only, never ids, so rows that share an id, or have none, are rows like all others.
 3. Two sets that reach the threshold share a shingle within their prefixes. Prefixes are dealt by shingle; shingles that
-   only one set has are dropped there, every other becomes a bucket whose smallest id is its leader.
+   only one set has are dropped there, every other becomes a bucket whose smallest node is its leader.
 4. Each set is compared with the leaders of its buckets, once per pair, by exact intersection. Sets that reach one get
    its label, so a large group of near copies is joined by a star, not by all its pairs.
 5. Pairs that still have different labels, share a prefix shingle and pass the length and positional filters are compared,
    once each, whatever their number. Nothing is capped.
-6. Components of all links found.
+6. Components of all links found, and of the sets that one id stands for.
 
-The length, positional and suffix filters only drop pairs that cannot reach the threshold. Sets are compared by 64-bit
-hashes of shingles.
+The length, positional and suffix filters only drop pairs that cannot reach the threshold; the suffix filter, on counts of
+the sets' hashes by their highest bits, is applied before any set is moved. Sets are compared by 64-bit hashes of
+shingles, and are taken for one where 128 bits and their sizes agree. No key of a join or group is hot: see ``hot``.
 """
 
 from __future__ import annotations
@@ -20,24 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
 from .fixed import fixed_table
-from .shared import through_table
+from .hot import block_pairs, hot_join, salted_join
+from .shared import Scratch
 
 WIDTH = 4
 #: Threshold in hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Width and threshold of a corpus's near copies, looser than the query's.
 CORPUS_WIDTH, CORPUS_PERCENT = 5, 80
-#: Counters for shingles, and bits that tell which texts are needed: both of fixed size.
-COUNT_BITS, NEED_BITS = 20, 24
-#: Rows of one bucket in one task, by the estimate of the counters; a larger bucket is salted.
+#: Counters for shingles. They decide the order of shingles, never a result: what shares a counter is ordered as one.
+COUNT_BITS = 22
+#: Most bits of the filter that tells which sets are needed; its size follows the pairs. Beyond, more sets are moved.
+NEED_BITS = 28
+#: Rows of one bucket that are passed in one task to find their leader, by the counters; a larger bucket has several.
 BUCKET_ROWS = 20_000
+#: Rows of one bucket that are joined with themselves in one task at least; of a larger bucket, blocks are joined.
+BLOCK_ROWS = 64
 
 
 def _count(text: str, width: int):
@@ -85,31 +91,51 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, counts: np.ndarray, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, print, prefix, salts): size, 64-bit print and prefix of every document's set; ``salts`` has the number
-    of ways that a prefix shingle's bucket is dealt."""
+    """(row, doc_id, n, print, cells, prefix, salts, hashes) of every row: a number of its own, its set's size, 128-bit
+    print, counts of hashes by their highest bits, prefix, and sorted hashes; ``salts`` has the number of leaders that a
+    prefix shingle's bucket may have."""
     spark = docs.sparkSession
     # what a counter holds by chance isn't a sign of one frequent shingle
-    likely = np.maximum(1, -(-(counts - 2 * int(counts.mean() + 1)) // BUCKET_ROWS)).astype(np.int32)
+    likely = np.minimum(np.maximum(1, -(-(counts - 2 * int(counts.mean() + 1)) // BUCKET_ROWS)), 1 << 14).astype(np.int16)
     sent = spark.sparkContext.broadcast((counts.astype(np.float32), likely))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ways = sent.value
         for batch in batches:
-            data, off = W.buffers(batch.column(1))
+            data, off = W.buffers(batch.column(2))
             for a, b, part, cut in W.chunks(data, off):
                 edge, h = ordered_sets(part, cut, seen, width)
                 n = np.diff(edge)
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix64(h ^ np.uint64(0x9FB21C651E98DF25)))))
-                prints = W.mix64(total[edge[1:]] - total[edge[:-1]] + n.astype(np.uint64))
+                prints = np.stack([W.mix64(_sums(W.mix64(h ^ seed), edge) + n.astype(np.uint64)) for seed in _SEEDS], 1)
                 size = np.where(n > 0, _prefix_size(n, percent), 0)
                 cuts = np.concatenate(([0], np.cumsum(size)))
                 first = h[np.arange(cuts[-1]) + np.repeat(edge[:-1] - cuts[:-1], size)]
-                salts = ways[(first >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                salts = ways[(first >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.int32)
+                own = np.repeat(np.arange(b - a), n)
+                cells = np.bincount(own * CELLS + (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=(b - a) * CELLS).astype(np.int32)
+                h = h[np.lexsort((h, own))]
                 lists = lambda x, c=cuts: pa.ListArray.from_arrays(pa.array(c.astype(np.int32)), pa.array(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(_signed(prints)), lists(_signed(first)), lists(salts)], ["doc_id", "n", "print", "prefix", "salts"])
+                whole = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(edge * 8), pa.py_buffer(h)]).cast(pa.binary())
+                known = pa.Array.from_buffers(pa.binary(16), b - a, [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), known, lists(cells, np.arange(b - a + 1) * CELLS), lists(_signed(first)), lists(salts), whole],
+                    ["row", "doc_id", "n", "print", "cells", "prefix", "salts", "hashes"],
+                )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, print long, prefix array<long>, salts array<int>")
+    schema = f"row long, doc_id {kind}, n long, print binary, cells array<int>, prefix array<long>, salts array<int>, hashes binary"
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id), F.col(text)).mapInArrow(run, schema)
+
+
+#: What a set's two 64-bit prints are seeded with.
+_SEEDS = tuple(np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC6A4A7935BD1E995))
+CELL_BITS = 4
+CELLS = 1 << CELL_BITS
+
+
+def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))
+    return total[edge[1:]] - total[edge[:-1]]
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -175,48 +201,35 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def _reaches(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    total = len(a) + len(b)
-    # suffix filter: values of one sixteenth of the hashes can only meet there
-    cells = np.searchsorted(a, _CELLS), np.searchsorted(b, _CELLS)
-    apart = np.abs(np.diff(cells[0]) - np.diff(cells[1])).sum()
-    if (total - apart) * (100 + percent) < 2 * total * percent:
-        return False
-    common = intersection(a, b)
-    return 100 * common >= percent * (total - common)
+def _alike(percent: int) -> Column:
+    """Suffix filter: two sets whose counts of hashes in the cells differ so much cannot reach the threshold."""
+    apart = F.aggregate(F.zip_with("_ca", "_cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    return (F.col("_na") + F.col("_nb") - apart) * (100 + percent) >= 2 * percent * (F.col("_na") + F.col("_nb"))
 
 
-_CELLS = np.append(np.arange(16, dtype=np.uint64) << np.uint64(60), np.uint64((1 << 64) - 1))
+def verified(sets: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets reach the threshold; ``pairs`` is a table that has each pair once.
 
+    Pairs that the suffix filter drops need no sets; of the others' sets, only those are moved.
+    """
+    spark = sets.sparkSession
 
-def _sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    data, off = W.buffers(column)
-    edges, hashes = [np.zeros(1, np.int64)], []
-    for _, _, part, cut in W.chunks(data, off):
-        text, h = W.shingles(*W.word_hashes(part, cut, W.NON_BLANK), width)
-        order = np.lexsort((h, text))
-        text, h = text[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-        text, h = text[new], h[new]
-        edges.append(edges[-1][-1] + np.searchsorted(text, np.arange(1, len(cut))))
-        hashes.append(h)
-    return np.concatenate(edges), np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-
+    def known(side: str) -> DataFrame:
+        return sets.select(F.col("row").alias(side), F.col("n").alias(f"_n{side}"), F.col("cells").alias(f"_c{side}"))
 
-def verified(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of document ids whose sets reach the threshold. Only texts that a pair may need are moved."""
-    spark = docs.sparkSession
+    half = scratch.table(hot_join(pairs.select("a", "b"), known("a"), "a"), "half")
+    likely = scratch.table(hot_join(half, known("b"), "b").where(_alike(percent)).select("a", "b"), "likely")
+    bits = min(NEED_BITS, max(16, (8 * likely.count()).bit_length()))
 
     def slots(ids: pa.Array) -> np.ndarray:
-        return (W.mix64(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - NEED_BITS)).astype(np.int64)
+        return (W.mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
         for k in range(2):
             s = slots(batch.column(k))
             np.bitwise_or.at(table, s >> 3, (1 << (s & 7)).astype(np.uint8))
 
-    need = spark.sparkContext.broadcast(fixed_table(pairs.select("a", "b"), 1 << NEED_BITS - 3, np.dtype(np.uint8), fill, np.bitwise_or))
+    need = spark.sparkContext.broadcast(fixed_table(likely, 1 << bits - 3, np.dtype(np.uint8), fill, np.bitwise_or))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = need.value
@@ -226,68 +239,79 @@ def verified(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, width: i
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(2)
-            ids = a.to_numpy()
-            fresh = np.ones(len(ids), bool)
-            # an id may stand for several texts
-            other = pc.not_equal(batch.column(1)[1:], batch.column(1)[:-1]).fill_null(True).to_numpy(zero_copy_only=False)
-            fresh[1:] = (ids[1:] != ids[:-1]) | other
-            own = np.cumsum(fresh) - 1
-            left, right = _sets(batch.column(1).filter(pa.array(fresh)), width), _sets(batch.column(3), width)
-            keep = [_reaches(left[1][left[0][i] : left[0][i + 1]], right[1][right[0][k] : right[0][k + 1]], percent) for k, i in enumerate(own)]
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = intersection(one, two)
+                keep.append(100 * common >= percent * (len(one) + len(two) - common))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    needed = sets.select("row", "hashes").mapInArrow(sift, "row long, hashes binary")
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(sift, "_id long, _text string")
-    right = pairs.select("a", "b").join(texts, F.col("b") == F.col("_id")).select("a", "b", F.col("_text").alias("_right"))
-    both = right.join(texts, F.col("a") == F.col("_id")).select("a", F.col("_text").alias("_left"), "b", "_right")
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    def moved(side: str) -> DataFrame:
+        return needed.select(F.col("row").alias(side), F.col("hashes").alias(f"_{side}"))
+
+    both = salted_join(salted_join(likely, moved("a"), "a", "b", likely), moved("b"), "b", "a", likely)
+    return both.select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
+
+
+def _by_id(sets: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the nodes of the sets that one id stands for."""
+    several = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("_a"), F.max("print").alias("_b")).where("_a != _b").select("doc_id")
+    several = scratch.table(several, "several")
+    if several.isEmpty():
+        return several.sparkSession.createDataFrame([], "a long, b long")
+    rows = scratch.table(hot_join(sets.where("n > 0").select("doc_id", "print"), several, "doc_id", "left_semi").distinct(), "rows_of_several")
+    nodes = scratch.table(hot_join(rows, copies.select("print", "node"), "print").select("doc_id", "node"), "nodes_of_several")
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return hot_join(nodes, first, "doc_id").where("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: set size, and the smallest id that links reach from the row.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text of fewer than ``width`` words is one shingle; a null
-    text, or one without words, has none and is linked with nothing. Rows that repeat are copies of each other. A row
-    without an id has links only as far as its copies go: its component is theirs, or null.
+    text, or one without words, has none and is linked with nothing. Rows that repeat are copies of each other. Rows of
+    one id are one document: what links to any of its texts is linked. A row without an id is a document like others;
+    its component is the smallest id that it reaches, or null. No rows give no rows.
     """
+    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = fixed_table(own.select("text"), 1 << COUNT_BITS, np.dtype(np.int64), _count("text", width), np.add)
-    sets = through_table(set_table(own, counts, "doc_id", "text", width, percent), "sets")
-    # one print is one set: 64 bits and the size agree
-    some = sets.where("n > 0")
-    copies = some.groupBy("print", "n").agg(F.min("doc_id").alias("node"))
-    standing = some.join(copies.where("node IS NOT NULL").select(F.col("node").alias("_node"), F.col("print").alias("_print")), (F.col("doc_id") == F.col("_node")) & (F.col("print") == F.col("_print")), "left_semi")
-    listed = standing.dropDuplicates(["doc_id", "print"]).select(F.col("doc_id").alias("node"), "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "e"))
-    entries = listed.select(F.col("e.prefix").alias("shingle"), F.pmod(F.xxhash64("node"), F.col("e.salts")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "node", "n", "place")
-    shared = through_table(_shared(entries), "shared")
-
-    star = shared.where((F.col("leader") != F.col("node")) & _possible(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
-    star = through_table(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = through_table(verified(own, star, "doc_id", "text", width, percent), "links")
-    labels = components(links)
-
-    # what has one label by now needs no further comparison
-    known = labels.select(F.col("node").alias("_n"), "label")
-    named = shared.select("shingle", "node", "n", "place").join(known, F.col("node") == F.col("_n"), "left").select("shingle", "node", "n", "place", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy(F.col("shingle").alias("_s")).agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("_s")
-    left = through_table(named.join(mixed, F.col("shingle") == F.col("_s"), "left_semi"), "mixed")
-    other = left.select(F.col("shingle").alias("_s"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("place").alias("_place"), F.col("label").alias("_label"))
-    rest = left.join(other, (F.col("shingle") == F.col("_s")) & (F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & _possible(F.col("n"), F.col("place"), F.col("_n"), F.col("_place"), percent))
-    rest = rest.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
-    rest = through_table(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = verified(own, rest, "doc_id", "text", width, percent)
-        labels = components(links.unionByName(more))
-    found = labels.select(F.col("node").alias("_n"), "label")
-    members = sets.select("doc_id", "n", "print").join(copies.select(F.col("print").alias("_p"), F.col("n").alias("_m"), "node"), (F.col("print") == F.col("_p")) & (F.col("n") == F.col("_m")), "left")
-    return members.join(found, F.col("node") == F.col("_n"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node", "doc_id").alias("component_id"))
-
-
-def first_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORPUS_PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; of rows that repeat one id, all or none."""
-    found = jaccard_components(docs, width=width, percent=percent).where("doc_id != component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_later"]), "left_anti")
+    with Scratch(spark) as scratch:
+        sets = scratch.table(set_table(own, counts, "doc_id", "text", width, percent), "sets")
+        some = sets.where("n > 0")
+        copies = scratch.table(some.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "copies")
+        standing = some.join(copies.select(F.col("node").alias("row")), "row", "left_semi")
+        listed = standing.select(F.col("row").alias("node"), "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "e"))
+        entries = listed.select(F.col("e.prefix").alias("shingle"), F.pmod(F.xxhash64("node"), F.col("e.salts")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "node", "n", "place")
+        shared = scratch.table(_shared(entries), "shared")
+
+        star = shared.where((F.col("leader") != F.col("node")) & _possible(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
+        star = scratch.table(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
+        links = scratch.table(verified(sets, star, percent, scratch).unionByName(_by_id(sets, copies, scratch)), "links")
+        labels = components(links, scratch)
+
+        # what has one label by now needs no further comparison
+        named = shared.select("shingle", "node", "n", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = scratch.table(named, "named")
+        mixed = named.groupBy("shingle").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a != _b").select("shingle")
+        mixed = scratch.table(hot_join(named, scratch.table(mixed, "mixed"), "shingle", "left_semi"), "left")
+        one, two = block_pairs(mixed, "shingle", "node", BLOCK_ROWS)
+        two = two.withColumnsRenamed({"node": "_node", "n": "_n", "place": "_place", "label": "_label"})
+        rest = one.join(two, ["shingle", "_one", "_two"]).where((F.col("node") < F.col("_node")) & (F.col("label") != F.col("_label")) & _possible(F.col("n"), F.col("place"), F.col("_n"), F.col("_place"), percent))
+        rest = rest.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        rest = scratch.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            labels = components(scratch.table(links.unionByName(verified(sets, rest, percent, scratch)), "all_links"), scratch)
+
+        ids = scratch.table(copies.join(labels, "node", "left").select("print", "least", F.coalesce("label", "node").alias("label")), "ids")
+        least = ids.groupBy("label").agg(F.min("least").alias("component_id"))
+        by_print = scratch.table(hot_join(ids, least, "label").select("print", "component_id"), "by_print")
+        found = hot_join(sets.select("doc_id", "n", "print"), by_print, "print", "left")
+        found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return scratch.table(found, "components", keep=True)
 
 
 def one_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORPUS_PERCENT) -> DataFrame:
@@ -308,3 +332,17 @@ def one_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORP
 
 def op6_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), width=WIDTH, percent=PERCENT)
+
+
+SQL6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {WIDTH - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {WIDTH - 1}) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT k.a, k.b FROM k JOIN n x ON x.doc_id = k.a JOIN n y ON y.doc_id = k.b WHERE 100 * k.k >= {PERCENT} * (x.n + y.n - k.k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, b AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
+m AS (SELECT doc_id, min(seen) AS least FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from barloom.llm import components, decontaminate, fixed, jaccard
+from barloom.llm import components, decontaminate, fixed, hot, jaccard
 
 from .conftest import edge_rows, prose
 
@@ -65,13 +65,13 @@ def test_longest_match(spark):
     assert (found["longest_match"], found["match_place"], found["n_hit"]) == (5, 2, 0)
 
 
-def shingles(t):
+def shingles(t, width=4):
     w = WORD.findall((t or "").translate(LOWER))
-    return frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+    return frozenset(tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def brute_components(rows):
-    sets = [(d, shingles(t)) for d, t in rows]
+def brute_components(rows, width=4, percent=85):
+    sets = [(d, shingles(t, width)) for d, t in rows]
     label = {d: d for d, _ in sets}
 
     def root(x):
@@ -82,7 +82,7 @@ def brute_components(rows):
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
             k = len(x & y)
-            if x and y and 100 * k >= 85 * (len(x) + len(y) - k):
+            if x and y and 100 * k >= percent * (len(x) + len(y) - k):
                 p, q = root(a), root(b)
                 label[max(p, q)] = min(p, q)
     return {d: (len(x), root(d)) for d, x in sets}
@@ -123,17 +123,33 @@ def test_jaccard_edges(clashing):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
         else:
             assert r["component_id"] is None
-    kept = jaccard.first_of_group(clashing)
-    assert kept.columns == clashing.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _, _ in edge_rows() if d is None or want[d][1] == d)
     assert jaccard.jaccard_components(clashing.limit(0)).collect() == []
 
 
 def test_unlike_texts_of_one_id(spark):
-    a, b = prose(51, 100), prose(52, 100)
-    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [r["component_id"] for r in got] == [1] * 4
+    """What links to any text of an id is linked to it, whatever the order of the rows."""
+    a, b, c, d, e, f = (prose(50 + i, 100) for i in range(6))
+    rows = [(5, a), (5, b), (9, b + " more"), (15, c), (15, d), (19, d + " more"), (13, c + " more"), (17, prose(60, 100))]
+    rows += [(None, e), (28, e + " more"), (None, f), (24, ""), (24, e), (26, None)]
+    want = {5: 5, 9: 5, 15: 13, 19: 13, 13: 13, 17: 17, 28: 24, 24: 24, 26: 26}
+    for given in (rows, rows[::-1]):
+        got = jaccard.jaccard_components(spark.createDataFrame(given, "doc_id long, text string").coalesce(1)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
+        assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["24", "None"]
+
+
+def test_hot_joins_are_joins(spark, monkeypatch):
+    r = random.Random(4)
+    left = [(r.choice([0, 0, 0, 1, 2, 3, None, 7]), i) for i in range(300)]
+    right = [(k, 10 * k) for k in (0, 1, 2, 5)]
+    monkeypatch.setattr(hot, "MOST_HOT", 5)
+    a, b = spark.createDataFrame(left, "k long, v long"), spark.createDataFrame(right, "k long, w long")
+    for how in ("inner", "left", "left_semi"):
+        assert Counter(hot.hot_join(a, b, "k", how).select("k", "v").collect()) == Counter(a.join(b, "k", how).select("k", "v").collect())
+    assert Counter(hot.salted_join(a, b, "k", "v", a).select("k", "v", "w").collect()) == Counter(a.join(b, "k").select("k", "v", "w").collect())
+    one, two = hot.block_pairs(a, "k", "v", 4)
+    got = one.join(two.withColumnRenamed("v", "x"), ["k", "_one", "_two"]).select("k", "v", "x").collect()
+    assert Counter(got) == Counter(a.join(a.withColumnRenamed("v", "x"), "k").select("k", "v", "x").collect())
 
 
 def test_jaccard_whole_table(spark, small):

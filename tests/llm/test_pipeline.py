@@ -24,7 +24,7 @@ def test_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     kept = [(r["doc_id"], r["text"]) for r in docs if passes(r["text"])]
-    group = brute_components(kept)
+    group = brute_components(kept, 5, 80)
     kept = [(d, t) for d, t in kept if group[d][1] == d]
     kept = {d: t for d, t in kept if brute_hits(t, items)[1] == 0}
     rows = corpus_pipeline.run(spark, small).collect()
