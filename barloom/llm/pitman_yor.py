@@ -1,22 +1,26 @@
 """Scores of texts under a hierarchical Pitman-Yor bigram model.
 
-Every word is a customer in the restaurant of the word before it. What opens a table there is a customer of the parent,
-which all context restaurants share; its own base is uniform over the vocabulary and one unknown word. The numbers of
-tables are sampled by Gibbs from the Chinese-restaurant distribution: exactly, from generalised Stirling numbers, for up
-to ``EXACT`` customers of a word in a restaurant, else by seating customers in growing blocks. Scores average the
-predictive probabilities of ``SAMPLES`` seatings.
+Every word is a customer in the restaurant of the word before it. What opens a table there is a customer of the root,
+which all context restaurants share; the root's discount is zero, so that its customers alone say its probabilities, and
+its base is uniform over the vocabulary and one unknown word, with a strength in proportion to it. A Gibbs sweep seats the customers of every dish of every
+context anew, given the root's customers and the context's tables after the sweep before. Scores average the predictive
+probabilities of the last ``SAMPLES`` sweeps.
+
+Customers of one dish are seated one after the other: a customer opens a table with a weight that looks ahead to those
+who follow (``seat``), which is the law of the number of tables up to a small error that the tests measure. From the 64th
+customer on, as many as one in 32 of those seated are seated at once. What is drawn follows from hashes of the pair, the
+sweep and the place in line, so neither partitions nor batches nor their order bear on a score.
 
 How it is spread: texts are cut into batches. A batch sends each context partition the distinct word pairs that fall to
-it, with their counts and the texts they stand in. As every word but the last is the context of the next, that partition
-also knows the plain count of its contexts. A context
-partition seats its restaurants, sends the tables per word to the partitions of the parent, gets the parent's counts
-back for just its words, seats again and returns sums per text to the batch. Everything that is sent follows the input;
-no model is gathered anywhere. A context with more than ``HOT_SHARE`` of all words, by counters of fixed size, is dealt
-over all partitions by the word; its samples are drawn in the first sweep, and only its totals are exchanged. Restaurants of one sweep are seated at once, given
-the totals of the sweep before; the parent is seated once, after the first sweep.
+it, with their counts and the texts they stand in; what holds no pair isn't sent. As every word but the last is the
+context of the next, that partition also knows the plain count of its contexts. After each sweep a partition tells its
+tables per word to the root's partitions, which hold ranges of the words, and hears the sums for just its words. A context
+with very many words (by counters of fixed size, which only err on the side of more) is dealt over several partitions by
+the word, and these add up its totals in the same exchange. At last each batch hears the sums of its texts. Everything
+that is sent is bounded by the words of the input; no model is gathered anywhere.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, one end token closes each text, null texts are empty. The plain
-unigram score beside it uses exact counts over the training texts, by 64-bit hashes of the words.
+unigram score beside it uses exact counts over the training texts. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,16 +37,15 @@ from . import words as W
 from .fixed import fixed_table
 
 DISCOUNT, STRENGTH = 0.75, 1.0
-ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 1.0
-SAMPLES = 3
-EXACT = 16
+#: The root's strength for each word of the vocabulary and for the unknown one.
+ROOT_STRENGTH = 0.5
+#: Sweeps, and how many of the last ones are averaged.
+SWEEPS, SAMPLES = 2, 2
 BATCH_BYTES = 8 << 20
 BATCH_TEXTS = 1 << 16
-#: Texts for each context partition, and fewest such partitions.
-PART_TEXTS, LEAST_PARTS = 4_000, 64
+#: Words of a context partition, and of a part of a context that is dealt; fewest partitions. They bear on no result.
+PART_WORDS, LEAST_PARTS = 4_000_000, 16
 COUNT_BITS = 20
-HOT_SHARE = 1 / 512
-
 END, START = (W.mix64(np.array([k], np.uint64))[0] for k in (0xE4D, 0x57A27))
 
 
@@ -88,52 +91,75 @@ def _unpack(b: np.ndarray) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-#: Bits of a word's hash by which it is a dish; contexts keep all 64.
-DISH_BITS = 40
-
-
-def _dish(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(64 - DISH_BITS)
-
-
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def stirling(most: int, discount: float) -> np.ndarray:
-    """Logarithms of generalised Stirling numbers: ways to seat c customers at t tables, by [c, t]."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[0, 0] = 0
-    for c in range(most):
-        for t in range(1, c + 2):
-            stay = out[c, t] + np.log(c - t * discount) if t <= c and c > t * discount else -np.inf
-            out[c + 1, t] = np.logaddexp(out[c, t - 1], stay)
-    return out
-
-
-def seat(customers: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return W.mix64(u ^ w * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _uniform(key: np.ndarray, sweep: int, place: int, draw: int = 0) -> np.ndarray:
+    """Numbers in (0, 1) that follow from a key, the sweep and the place in line."""
+    seed = W.mix64(np.array([sweep << 48 | draw << 44 | place], np.uint64))[0]
+    return ((W.mix64(key ^ seed) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def _binomial(n: int, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Binomial numbers by inversion, or, where 30 and more are expected on either side, from a normal one."""
+    turned = p > 0.5
+    q = np.where(turned, 1 - p, p)
+    mean = n * q
+    out = np.rint(mean + np.sqrt(mean * (1 - q)) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v))
+    few = np.flatnonzero(mean < 30)
+    if len(few):
+        q, u = q[few], u[few]
+        odds, mass = q / (1 - q), (1 - q) ** n
+        total, k = mass.copy(), np.zeros(len(few))
+        for i in range(1, min(n, 100) + 1):
+            on = u > total
+            if not on.any():
+                break
+            k += on
+            mass = mass * odds * (n - i + 1) / i
+            total += mass
+        out[few] = k
+    out = np.clip(out, 0, n)
+    return np.where(turned, n - out, out).astype(np.int64)
+
+
+def seat(customers: np.ndarray, base: np.ndarray, rest: np.ndarray, strength: float, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
     """Numbers of tables of dishes with these customers, given the parent's probability of each dish and the number of
-    tables that other dishes have in its restaurant."""
+    tables that other dishes have in its restaurant.
+
+    The law sought is that of a seating, given the dishes: each step's weight is that of the customer's choice times that
+    of all that can follow. The latter shrinks with every table, as tables take from the weight of sitting down at one: by
+    about (x / y) ** (d * (1 - base)), where x and y are the sums of the choices' weights now and for the last customer.
+    """
     tables = np.minimum(customers, 1).astype(np.int64)
-    ways = stirling(EXACT, discount)
-    for c in range(2, EXACT + 1):
-        at = np.flatnonzero(customers == c)
-        if not len(at):
-            continue
-        t = np.arange(1, c + 1)
-        opened = np.cumsum(np.log(strength + discount * (rest[at][:, None] + np.arange(c))), 1)
-        weight = t * np.log(base[at])[:, None] + opened + ways[c, 1 : c + 1]
-        weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
-        tables[at] = 1 + (weight < rng.random(len(at))[:, None] * weight[:, -1:]).sum(1)
-    at = np.flatnonzero(customers > EXACT)
-    seated = np.ones(len(at), np.int64)
-    while len(at):
-        block = np.minimum(np.maximum(1, seated // 4), customers[at] - seated)
-        new = (strength + discount * (rest[at] + tables[at])) * base[at]
-        tables[at] += rng.binomial(block, new / (np.maximum(seated - discount * tables[at], 1e-9) + new))
-        seated += block
-        on = seated < customers[at]
-        at, seated = at[on], seated[on]
+    live, n = np.flatnonzero(customers > 1), 1
+    while len(live):
+        block = max(1, n // 32)
+        c, t, p = customers[live], tables[live], base[live]
+        some = np.minimum(block, c - n)
+        new = (strength + discount * (rest[live] + t)) * p
+        less = discount * (1 - p)  # what one more table takes from the weight of every later step
+        stay = np.maximum(n - discount * t, 1e-9)
+        now = np.maximum(stay + new + block / 2 - less / 2, 0.05)
+        chance = new / (stay + new)
+        for _ in range(2):  # the tables that will be opened take more of it
+            slope = 1 - less * chance
+            ahead = (now / np.maximum(now + (c - n - block / 2 - 0.5) * slope, now)) ** (less / slope)
+            chance = new * ahead / (stay + new * ahead)
+        if block == 1:
+            tables[live] += _uniform(key[live], sweep, n) < chance
+        else:
+            u, v = _uniform(key[live], sweep, n), _uniform(key[live], sweep, n, 1)
+            for size in np.unique(some):  # the whole block, and what is left of those that end in it
+                at = np.flatnonzero(some == size)
+                tables[live[at]] += _binomial(int(size), chance[at], u[at], v[at])
+        n += block
+        live = live[customers[live] > n]
     return tables
 
 
@@ -143,8 +169,8 @@ def _groups(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(key[order], np.arange(most + 1))
 
 
-def _batch_rows(number: int, data: np.ndarray, off: np.ndarray, held: np.ndarray, parts: int, hot: np.ndarray) -> tuple[list, np.ndarray]:
-    """((partition, batch, blob) for every context partition; tokens a text)."""
+def _batch_rows(number: int, data: np.ndarray, off: np.ndarray, held: np.ndarray, parts: int, ways: np.ndarray) -> tuple[list, np.ndarray]:
+    """((partition, batch, blob) for every context partition with pairs of these texts; tokens a text)."""
     hashes, first = W.word_hashes(data, off, W.NON_BLANK)
     texts = len(off) - 1
     n = np.diff(first) + 1
@@ -172,10 +198,12 @@ def _batch_rows(number: int, data: np.ndarray, off: np.ndarray, held: np.ndarray
     edge = np.searchsorted(key, np.arange(len(kinds) + 1))
     u, w = kinds // (len(known) + 1), kinds % (len(known) + 1)
     named = np.append(known, START)
-    whose = np.where(hot[(named[u] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], W.mix64(named[u] ^ named[w] * np.uint64(0xD6E8FEB86659FD93)), named[u])
+    # a context that is dealt lies with the partitions of its parts, each of which has some of the words
+    dealt = ways[(named[u] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
+    whose = np.where(dealt > 1, W.mix64(named[u] + _pair_key(named[w], named[u]) % np.maximum(dealt, np.uint64(1)) + np.uint64(1)), named[u])
     order, cut = _groups(_part(whose, parts), parts)
     rows = []
-    for p in range(parts):
+    for p in np.flatnonzero(np.diff(cut)).tolist():
         mine = order[cut[p] : cut[p + 1]]
         contexts, run = np.unique(u[mine], return_inverse=True)  # numbers of words follow their hashes, but for START
         by_hash = np.argsort(named[contexts])
@@ -185,63 +213,138 @@ def _batch_rows(number: int, data: np.ndarray, off: np.ndarray, held: np.ndarray
         mine, run = mine[resort], place[run][resort]
         size = edge[mine + 1] - edge[mine]
         at = np.arange(size.sum()) + np.repeat(edge[mine] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-        dishes, dish = np.unique(_dish(named[w[mine]]), return_inverse=True)
+        dishes, dish = np.unique(named[w[mine]], return_inverse=True)
         blob = dump(_pack(named[contexts][by_hash]), _narrow(np.bincount(run, minlength=len(contexts))), _pack(dishes), _narrow(dish), _narrow(train[mine]), _narrow(size), where[at], _narrow(count[at]))
         rows.append((p, number, blob))
     return rows, n
 
 
-class Tables:
-    """The restaurants of one partition: its distinct pairs, and for each batch which of them its entries are."""
+class Partition:
+    """The restaurants of one partition: its distinct pairs, and for each batch which of them its entries are.
+
+    ``hear`` takes what the root's partitions answered to ``ask``; by turns, the two run the sweeps.
+    """
 
-    def __init__(self, rows: list[tuple[int, bytes]], hot: np.ndarray):
+    def __init__(self, rows: list[tuple[int, bytes]], parts: int, ways: np.ndarray):
         rows = sorted(rows)
         loaded = [load(b) for _, b in rows]
-        self.batches = [b for b, _ in rows]
+        self.parts, self.batches = parts, [b for b, _ in rows]
         self.contexts, u = np.unique(np.concatenate([np.repeat(_unpack(x[0]), x[1]) for x in loaded]), return_inverse=True)
         self.words, w = np.unique(np.concatenate([_unpack(x[2])[x[3]] for x in loaded]), return_inverse=True)
         kinds, pair = np.unique(u.astype(np.int64) * len(self.words) + w, return_inverse=True)
+        del u, w
         self.u, self.w = kinds // max(1, len(self.words)), kinds % max(1, len(self.words))
         self.customers = np.bincount(pair, np.concatenate([x[4] for x in loaded]), len(kinds)).astype(np.int64)
         cuts = np.cumsum([0, *(len(x[3]) for x in loaded)])
-        self.entries = [(np.repeat(pair[a:b], x[5]), x[6], x[7]) for a, b, x in zip(cuts[:-1], cuts[1:], loaded, strict=True)]
-        is_hot = hot[(self.contexts >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-        self.hot = np.flatnonzero(is_hot)
-        self.hot_pairs = np.flatnonzero(is_hot[self.u])
-
-    def totals(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(self.u, self.customers, len(self.contexts)), np.bincount(self.u, tables, len(self.contexts))
-
-    def first_sweep(self, seed: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-        """(tables, tables of the hot contexts' pairs by sample) by a parent that is guessed from this partition's counts.
-
-        A hot context's partitions cannot hear of each other's later seatings, so its samples are drawn here, and its
-        totals are exchanged for each.
-        """
-        tables = np.minimum(self.customers, 1)
-        guess = np.bincount(self.w, tables, len(self.words)) + 0.5
-        guess /= guess.sum()
-        _, total = self.totals(tables)
-        rest = total[self.u] - tables
-        tables = seat(self.customers, guess[self.w], rest, STRENGTH, DISCOUNT, np.random.default_rng([seed, 1]))
-        h = self.hot_pairs
-        draws = [seat(self.customers[h], guess[self.w[h]], rest[h], STRENGTH, DISCOUNT, np.random.default_rng([seed, 4, s])) for s in range(samples)]
-        return tables, np.array(draws, np.int64).reshape(samples, len(h))
-
-    def hot_totals(self, draws: np.ndarray) -> np.ndarray:
-        """Tables of the hot contexts, in the order of ``hot``, by sample."""
-        return np.array([np.bincount(self.u[self.hot_pairs], x, len(self.contexts))[self.hot] for x in draws], np.int64).reshape(len(draws), len(self.hot))
+        self.entries = [(np.repeat(pair[a:b].astype(np.int32), x[5]), x[6], x[7]) for a, b, x in zip(cuts[:-1], cuts[1:], loaded, strict=True)]
+        self.key = _pair_key(self.contexts[self.u], self.words[self.w])
+        dealt = ways[(self.contexts >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] > 1
+        self.dealt = np.flatnonzero(dealt)
+        self.own_total = np.bincount(self.u, self.customers, len(self.contexts)).astype(np.int64)
+        self.total = self.own_total.copy()
+        self.start = self.contexts == START
+        # one table for each pair that a training text has
+        self.tables = np.minimum(self.customers, 1)
+        self.sweep, self.base, self.vocabulary, self.mean = 0, None, None, np.zeros(len(kinds))
+
+    def _own_tables(self) -> np.ndarray:
+        return np.bincount(self.u, self.tables, len(self.contexts)).astype(np.int64)
+
+    def ask(self) -> list[tuple[int, bytes]]:
+        """(partition of the root, message): the tables of its words, the totals of dealt contexts, and, for the first
+        of them, sums over all partitions. Words and contexts are named in the first exchange only."""
+        values = np.bincount(self.w, self.tables, len(self.words)).astype(np.int64)
+        tables = self._own_tables()[self.dealt]
+        cut = np.searchsorted(_part(self.words, self.parts), np.arange(self.parts + 1))
+        there = self.contexts[self.dealt]
+        dealt_cut = np.searchsorted(_part(there, self.parts), np.arange(self.parts + 1))
+        # a dealt context is known to be seen once in all: each of its parts adds its share
+        seen = (self.total > 0) & ~self.start
+        share = self.own_total / np.maximum(1, self.total)
+        sums = np.array([self.tables.sum(), self.customers.sum(), share[seen].sum(), self.own_total[self.start].sum()], np.float64)
+        out = []
+        asked = np.flatnonzero((np.diff(cut) > 0) | (np.diff(dealt_cut) > 0))
+        for q in np.union1d([0], asked).tolist():
+            a, b, c, d = cut[q], cut[q + 1], dealt_cut[q], dealt_cut[q + 1]
+            names = (_pack(self.words[a:b]), _pack(there[c:d]), self.own_total[self.dealt[c:d]]) if self.sweep == 0 else ()
+            out.append((q, dump(_narrow(values[a:b]), tables[c:d], sums if q == 0 else sums[:0], *names)))
+        return out
+
+    def hear(self, answers: list[tuple[int, bytes]], last: bool = False) -> None:
+        """Take the sums; if sweeps are left, seat all customers anew. The last ``SAMPLES`` sweeps' predictive
+        probabilities are added up, each with the sums that follow from it."""
+        got = [load(b) for _, b in sorted(answers)]
+        root = np.concatenate([x[0] for x in got]).astype(np.float64)
+        tables = self._own_tables()
+        if len(self.dealt):
+            tables[self.dealt] = np.concatenate([x[1] for x in got])
+            if self.sweep == 0:
+                self.total[self.dealt] = np.concatenate([x[3] for x in got])
+        sums = next(x[2] for x in got if len(x[2]))
+        self.root_customers, self.train, self.ends = sums[0], int(sums[1]), int(sums[3])
+        if self.sweep:
+            self.vocabulary = int(round(sums[2])) + (self.ends > 0)
+        # the first exchange does not tell the size of the vocabulary yet; until the next, the root is taken to have none unseen
+        words = 1 if self.vocabulary is None else self.vocabulary + 1
+        self.base = ((root + ROOT_STRENGTH) / (self.root_customers + ROOT_STRENGTH * words))[self.w]
+        if self.sweep:
+            total = self.total[self.u]
+            self.found = (np.maximum(self.customers - DISCOUNT * self.tables, 0) + (STRENGTH + DISCOUNT * tables[self.u]) * self.base) / (STRENGTH + total)
+        self.sweep += 1
+        if not last:
+            self.tables = seat(self.customers, self.base, tables[self.u] - self.tables, STRENGTH, DISCOUNT, self.key, self.sweep)
+
+    def run(self, answers: dict[int, list[tuple[int, bytes]]], sweeps: int, samples: int) -> None:
+        """All sweeps whose answers are there, from the beginning."""
+        for k in sorted(answers):
+            self.hear(answers[k], last=k == sweeps)
+            if k > sweeps - samples:
+                self.mean += self.found / samples
+
+    def sums(self) -> list[bytes]:
+        """For each batch, of each of its texts with pairs here: the sums of log10 of the averaged predictive
+        probabilities, and of log10(count + 0.1) of their contexts as words, and how many of these are known."""
+        value, out = np.log10(self.mean), []
+        plain, seen = np.where(self.start, 0, np.log10(self.total + 0.1)), (self.total > 0) & ~self.start
+        about = np.array([self.train, self.vocabulary, self.ends], np.int64)
+        for pair, text, many in self.entries:
+            u, many = self.u[pair], many.astype(np.float64)
+            there = np.unique(text)
+            own = np.searchsorted(there, text)
+            out.append(dump(about, there, np.bincount(own, many * value[pair]).astype(np.float32), np.bincount(own, many * plain[u]), _narrow(np.bincount(own, many * seen[u]).astype(np.int64))))
+        return out
+
+
+def answer(names: list[tuple[int, bytes]], asked: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """(context partition, sums) of a partition of the root: of each word and dealt context that it was asked for.
+
+    ``names`` are the messages of the first exchange, ``asked`` those of this one."""
+    names, asked = dict(names), dict(asked)
+    parts = sorted(names)
+    first, now = [load(names[p]) for p in parts], [load(asked[p]) for p in parts]
+    words, w = np.unique(np.concatenate([_unpack(x[3]) for x in first]), return_inverse=True)
+    customers = np.bincount(w, np.concatenate([x[0] for x in now]), len(words)).astype(np.int64)
+    contexts, u = np.unique(np.concatenate([_unpack(x[4]) for x in first]), return_inverse=True)
+    total = np.bincount(u, np.concatenate([x[5] for x in first]), len(contexts)).astype(np.int64)
+    tables = np.bincount(u, np.concatenate([x[1] for x in now]), len(contexts)).astype(np.int64)
+    sums = np.sum([x[2] for x in now if len(x[2])], 0) if len(now[0][2]) else np.zeros(0)
+    out, a, c = [], 0, 0
+    for p, x, y in zip(parts, first, now, strict=True):
+        mine, its = w[a : a + len(y[0])], u[c : c + len(x[5])]
+        a, c = a + len(y[0]), c + len(x[5])
+        out.append((p, dump(_narrow(customers[mine]), tables[its], sums, total[its])))
+    return out
 
 
-def _table_rows(table: pa.Table) -> list[tuple[int, bytes]]:
-    return list(zip(table.column("batch").to_pylist(), table.column("blob").to_pylist(), strict=True))
+def _rows(table: pa.Table, key: str) -> list[tuple[int, bytes]]:
+    return list(zip(table.column(key).to_pylist(), table.column("blob").to_pylist(), strict=True))
 
 
-def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
+def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows with ``held`` teach nothing.
 
     A null or empty text is its end token alone; rows that repeat teach and are scored as often as they stand. Without
-    any training row all words are unknown and the scores follow from the uniform base.
+    any training row all words are unknown and the scores follow from the uniform base. No rows give no rows.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text).alias("text"))
@@ -254,15 +357,11 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
             table[int(START >> np.uint64(64 - COUNT_BITS))] += len(cut) - 1
 
     counts = fixed_table(own.select("text"), 1 << COUNT_BITS, np.dtype(np.int64), fill, np.add)
-    hot_slots = counts > max(1, counts.sum() * HOT_SHARE)
-    hot_slots[int(START >> np.uint64(64 - COUNT_BITS))] = True  # its total is the number of training texts, which all need
-    texts = own.count()
-    parts = max(LEAST_PARTS, -(-texts // PART_TEXTS))
-    sent = spark.sparkContext.broadcast(np.packbits(hot_slots))
+    parts = max(LEAST_PARTS, -(-int(counts.sum()) // PART_WORDS))
+    sent = spark.sparkContext.broadcast(np.minimum(np.maximum(1, -(-counts // PART_WORDS)), parts).astype(np.int32))
     kind = docs.schema[doc_id].dataType
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.unpackbits(sent.value).astype(bool)
         task, seq = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             data, off = W.buffers(batch.column("text"))
@@ -271,7 +370,7 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
                 for i in range(0, b - a, BATCH_TEXTS):
                     j = min(i + BATCH_TEXTS, b - a)
                     these = held_all[a + i : a + j]
-                    rows, n = _batch_rows(task + seq, part[cut[i] : cut[j]], cut[i : j + 1] - cut[i], these, parts, hot)
+                    rows, n = _batch_rows(task + seq, part[cut[i] : cut[j]], cut[i : j + 1] - cut[i], these, parts, sent.value)
                     for lo in range(0, len(rows), 32):
                         some = rows[lo : lo + 32]
                         ids = [None] * len(some)
@@ -289,60 +388,44 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
     sql = kind.simpleString()
     blobs = own.mapInArrow(cut_up, f"part int, batch long, blob binary, ids array<{sql}>, head binary")
 
-    def ask(table: pa.Table) -> pa.Table:
-        """A context partition's tables per word, and its part of the hot contexts' totals, for the parent's partitions."""
-        me = table.column("part")[0].as_py()
-        own_ = Tables(_table_rows(table), np.unpackbits(sent.value).astype(bool))
-        tables, draws = own_.first_sweep(me, samples)
-        customers, _ = own_.totals(tables)
-        total = own_.hot_totals(draws)
-        per_word = np.bincount(own_.w, tables, len(own_.words)).astype(np.int64)
-        out = []
-        word_cut = np.searchsorted(_part(own_.words << np.uint64(64 - DISH_BITS), parts), np.arange(parts + 1))  # parts follow the hashes' order
-        hot_part = _part(own_.contexts[own_.hot], parts)
-        for q in range(parts):
-            a, b = word_cut[q], word_cut[q + 1]
-            its = hot_part == q
-            h = own_.hot[its]
-            out.append(dump(_pack(own_.words[a:b]), _narrow(per_word[a:b]), _pack(own_.contexts[h]), customers[h].astype(np.int64), *(x[its] for x in total)))
-        return pa.table({"to": pa.array(np.arange(parts, dtype=np.int32)), "part": pa.array(np.full(parts, me, np.int32)), "blob": pa.array(out, pa.binary())})
-
-    def answer(table: pa.Table) -> pa.Table:
-        """The parent's customers and tables of the words that each partition asked for, hot totals, and own totals."""
-        me = table.column("to")[0].as_py()
-        asked = sorted(zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True))
-        got = [load(b) for _, b in asked]
-        words, w = np.unique(np.concatenate([_unpack(x[0]) for x in got]), return_inverse=True)
-        customers = np.bincount(w, np.concatenate([x[1] for x in got]), len(words)).astype(np.int64)
-        vocabulary = int((customers > 0).sum())
-        tables = np.minimum(customers, 1)
-        for sweep in range(2):  # the other partitions' totals are estimated by this one's
-            rest = tables.sum() * parts - tables
-            tables = seat(customers, np.full(len(words), 1 / (1 + vocabulary * parts)), rest, ROOT_STRENGTH, ROOT_DISCOUNT, np.random.default_rng([me, 2, sweep]))
-        contexts, u = np.unique(np.concatenate([_unpack(x[2]) for x in got]), return_inverse=True)
-        hot_customers = np.bincount(u, np.concatenate([x[3] for x in got]), len(contexts)).astype(np.int64)
-        hot_tables = [np.bincount(u, np.concatenate([x[4 + s] for x in got]), len(contexts)).astype(np.int64) for s in range(samples)]
-        starts = contexts == START
-        sums = np.array([customers.sum(), tables.sum(), vocabulary, ((hot_customers > 0) & ~starts).sum(), hot_customers[starts].sum()], np.int64)
-        out, at, hot_at = [], 0, 0
-        for x in got:
-            mine, its = w[at : at + len(x[1])], u[hot_at : hot_at + len(x[3])]
-            at, hot_at = at + len(x[1]), hot_at + len(x[3])
-            out.append(dump(_narrow(customers[mine]), _narrow(tables[mine]), hot_customers[its], sums, *(x[its] for x in hot_tables)))
-        return pa.table({"part": pa.array([p for p, _ in asked], pa.int32()), "to": pa.array(np.full(len(asked), me, np.int32)), "blob": pa.array(out, pa.binary())})
-
-    result = pa.schema([("batch", pa.int64()), ("blob", pa.binary()), ("known", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64()), ("ids", pa.list_(_arrow(spark, kind))), ("head", pa.binary())])
-
-    def sums(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """For each batch: the sums of its texts over this partition's words or pairs."""
-        if not left.num_rows:
+    def partition(table: pa.Table, heard: pa.Table | None) -> Partition:
+        p = Partition(_rows(table, "batch"), parts, sent.value)
+        by: dict[int, list] = {}
+        if heard is not None:
+            for k, to, blob in zip(*(heard.column(c).to_pylist() for c in ("sweep", "to", "blob")), strict=True):
+                by.setdefault(k, []).append((to, blob))
+        p.run(by, sweeps, samples)
+        return p
+
+    def told(me: int, p: Partition) -> pa.Table:
+        out = p.ask()
+        return pa.table({"to": pa.array([q for q, _ in out], pa.int32()), "part": pa.array([me] * len(out), pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+    asking = pa.schema([("to", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
+
+    def first_ask(table: pa.Table) -> pa.Table:
+        return told(table.column("part")[0].as_py(), partition(table, None))
+
+    def next_ask(key, table: pa.Table, heard: pa.Table) -> pa.Table:
+        return told(key[0].as_py(), partition(table, heard)) if table.num_rows else asking.empty_table()
+
+    def answered(rows: list[tuple[int, bytes]], me: int, sweep: int) -> pa.Table:
+        return pa.table({"part": pa.array([p for p, _ in rows], pa.int32()), "to": pa.array([me] * len(rows), pa.int32()), "sweep": pa.array([sweep] * len(rows), pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
+
+    def first_answer(table: pa.Table) -> pa.Table:
+        rows = _rows(table, "part")
+        return answered(answer(rows, rows), table.column("to")[0].as_py(), 0)
+
+    def next_answer(sweep: int):
+        return lambda key, names, asked: answered(answer(_rows(names, "part"), _rows(asked, "part")), key[0].as_py(), sweep)
+
+    result = pa.schema([("batch", pa.int64()), ("blob", pa.binary()), ("ids", pa.list_(_arrow(spark, kind))), ("head", pa.binary())])
+
+    def sums(key, table: pa.Table, heard: pa.Table) -> pa.Table:
+        if not table.num_rows:
             return result.empty_table()
-        me = left.column("part")[0].as_py()
-        order = np.argsort(left.column("batch").to_numpy(), kind="stable")
-        left = left.take(pa.array(order))
-        out, known, tokens, ends = _pair_sums(_table_rows(left), me, right, np.unpackbits(sent.value).astype(bool), samples)
-        n = left.num_rows
-        return pa.table([left.column("batch"), pa.array(out, pa.binary()), *(pa.array([x] * n, pa.int64()) for x in (known, tokens, ends)), left.column("ids"), left.column("head")], schema=result)
+        table = table.take(pa.array(np.argsort(table.column("batch").to_numpy(), kind="stable")))
+        return pa.table([table.column("batch"), pa.array(partition(table, heard).sums(), pa.binary()), table.column("ids"), table.column("head")], schema=result)
 
     final = pa.schema([("doc_id", _arrow(spark, kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -350,20 +433,24 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
         heads = table.column("head").to_pylist()
         k = next(i for i, h in enumerate(heads) if h is not None)
         n, held_out = load(heads[k])
-        distinct, total_tokens = sum(table.column("known").to_pylist()), sum(table.column("tokens").to_pylist())
-        ends = table.column("ends")[0].as_py()
+        got = [load(b) for b in sorted(table.column("blob").to_pylist())]  # sums in one order, whatever came first
+        train, distinct, ends = got[0][0].tolist()
         # every text's end token, which is no context
         base, model, known = np.full(len(n), np.log10(ends + 0.1)), np.zeros(len(n)), np.full(len(n), int(ends > 0), np.int64)
-        for blob in sorted(table.column("blob").to_pylist()):  # sums in one order, whatever came first
-            for total, part in zip((model, base, known), load(blob), strict=True):
-                total[: len(part)] += part.astype(total.dtype)
-        base -= n * np.log10(total_tokens + 0.1 * (distinct + 1))
+        for _, there, *values in got:
+            for total, part in zip((model, base, known), values, strict=True):
+                total[there] += part.astype(total.dtype)
+        base -= n * np.log10(train + 0.1 * (distinct + 1))
         ids = table.column("ids")[k].values
-        return pa.table([ids, pa.array(held_out.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), total_tokens)), pa.array(base), pa.array(model)], schema=final)
-
-    asked = blobs.groupBy("part").applyInArrow(ask, "to int, part int, blob binary")
-    answered = asked.groupBy("to").applyInArrow(answer, "part int, to int, blob binary")
-    summed = blobs.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(sums, f"batch long, blob binary, known long, tokens long, ends long, ids array<{sql}>, head binary")
+        return pa.table([ids, pa.array(held_out.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), train)), pa.array(base), pa.array(model)], schema=final)
+
+    to_root, to_context = "to int, part int, blob binary", "part int, to int, sweep int, blob binary"
+    named = blobs.groupBy("part").applyInArrow(first_ask, to_root)
+    heard = named.groupBy("to").applyInArrow(first_answer, to_context)
+    for sweep in range(1, sweeps + 1):
+        asked = blobs.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(next_ask, to_root)
+        heard = heard.unionByName(named.groupBy("to").cogroup(asked.groupBy("to")).applyInArrow(next_answer(sweep), to_context))
+    summed = blobs.groupBy("part").cogroup(heard.groupBy("part")).applyInArrow(sums, f"batch long, blob binary, ids array<{sql}>, head binary")
     return summed.groupBy("batch").applyInArrow(assemble, f"doc_id {sql}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
@@ -373,42 +460,6 @@ def _arrow(spark: SparkSession, kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _pair_sums(rows: list[tuple[int, bytes]], me: int, answers: pa.Table, hot: np.ndarray, samples: int) -> tuple[list[bytes], int, int, int]:
-    """What a context partition has for each batch's texts: the sums of log10 of the averaged predictive probabilities of
-    their pairs, those of log10(count + 0.1) of their contexts as words, and how many of these are known. With it, the
-    distinct words and training tokens that are counted here, and the number of training texts."""
-    own = Tables(rows, hot)
-    parts = answers.num_rows
-    got = [load(b) for _, b in sorted(zip(answers.column("to").to_pylist(), answers.column("blob").to_pylist(), strict=True))]
-    root_customers, root_tables = (np.concatenate([x[k] for x in got]).astype(np.float64) for k in (0, 1))
-    all_customers, all_tables, vocabulary, hot_words, ends = np.sum([x[3] for x in got], 0).tolist()
-    parent = (np.maximum(root_customers - ROOT_DISCOUNT * root_tables, 0) + (ROOT_STRENGTH + ROOT_DISCOUNT * all_tables) / (vocabulary + 1)) / (ROOT_STRENGTH + all_customers)
-    # hot contexts' totals come in the order of their partitions, as they were sent
-    hot_order = own.hot[np.argsort(_part(own.contexts[own.hot], parts), kind="stable")]
-    tables, draws = own.first_sweep(me, samples)
-    customers, total = own.totals(tables)
-    customers[hot_order] = np.concatenate([x[2] for x in got])
-    base = parent[own.w]
-    mean = np.zeros(len(own.u))
-    for sweep in range(samples):
-        tables = seat(own.customers, base, total[own.u] - tables, STRENGTH, DISCOUNT, np.random.default_rng([me, 3, sweep]))
-        tables[own.hot_pairs] = draws[sweep]
-        _, total = own.totals(tables)
-        total[hot_order] = np.concatenate([x[4 + sweep] for x in got])
-        mean += (np.maximum(own.customers - DISCOUNT * tables, 0) + (STRENGTH + DISCOUNT * total[own.u]) * base) / (STRENGTH + customers[own.u])
-    value = np.log10(mean / samples)
-    start = own.contexts == START
-    plain, seen = np.where(start, 0, np.log10(customers + 0.1)), (customers > 0) & ~start
-    distinct = np.ones(len(own.contexts), bool)
-    distinct[own.hot] = False  # counted by the parent's partitions, for one of the context partitions to hand on
-    words = int((seen & distinct).sum()) + (hot_words + int(ends > 0) if me == 0 else 0)
-    out = []
-    for pair, text, many in own.entries:
-        u, many = own.u[pair], many.astype(np.float64)
-        out.append(dump(np.bincount(text, many * value[pair]).astype(np.float32), np.bincount(text, many * plain[u]), _narrow(np.bincount(text, many * seen[u]).astype(np.int64))))
-    return out, words, int(own.customers.sum()), ends
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -61,37 +62,135 @@ def test_warc_round_trip(spark):
     assert arc.read_warcs(spark, empty).collect() == []
 
 
-def test_stirling_numbers_give_the_seating_law():
-    """Tables of c customers of one dish, by enumeration of all seatings."""
-    discount, strength = 0.4, 1.3
-    for c in (2, 3, 5):
-        law = {(): 1.0}
-        for n in range(c):
-            new = Counter()
-            for sizes, p in law.items():
-                total = strength + n
-                new[(*sizes, 1)] += p * (strength + discount * len(sizes)) / total
-                for k, s in enumerate(sizes):
-                    new[(*sizes[:k], s + 1, *sizes[k + 1 :])] += p * (s - discount) / total
-            law = new
-        by = Counter()
-        for sizes, p in law.items():
-            by[len(sizes)] += p
-        ways = pitman_yor.stirling(c, discount)
-        w = [math.exp(ways[c, t] + sum(math.log(strength + discount * k) for k in range(t))) for t in range(1, c + 1)]
-        assert [x / sum(w) for x in w] == pytest.approx([by[t] for t in range(1, c + 1)])
-        rng = np.random.default_rng(1)
-        drawn = pitman_yor.seat(np.full(40_000, c), np.ones(40_000), np.zeros(40_000), strength, discount, rng)
-        assert np.bincount(drawn, minlength=c + 1)[1:] / 40_000 == pytest.approx([by[t] for t in range(1, c + 1)], abs=0.02)
-
-
-def test_blocks_seat_like_single_customers():
-    rng = np.random.default_rng(2)
-    drawn = pitman_yor.seat(np.full(3000, 60), np.ones(3000), np.zeros(3000), 1.0, 0.5, rng).mean()
-    tables = np.ones(3000)
-    for n in range(1, 60):
-        tables += rng.random(3000) < (1.0 + 0.5 * tables) / (1.0 + n)
-    assert drawn == pytest.approx(tables.mean(), rel=0.1)
+def seating_law(c, strength, discount, rest, base):
+    """Chances of 1..c tables of c customers of one dish, by the generalised Stirling numbers."""
+    ways = np.zeros((c + 1, c + 1))
+    ways[0, 0] = 1
+    for n in range(c):
+        for t in range(n + 1):
+            ways[n + 1, t + 1] += ways[n, t]
+            ways[n + 1, t] += ways[n, t] * (n - t * discount)
+    law = np.array([ways[c, t] * math.prod((strength + discount * (rest + k)) * base for k in range(t)) for t in range(1, c + 1)])
+    return law / law.sum()
+
+
+def test_seats_follow_the_law():
+    rng = np.random.default_rng(1)
+    for c, base, rest, off in ((2, 0.1, 5, 0.01), (2, 0.5, 0, 0.01), (3, 0.01, 30, 0.01), (3, 0.5, 0, 0.01), (5, 0.1, 5, 0.03), (10, 0.01, 30, 0.04), (20, 0.05, 300, 0.04), (60, 0.001, 50, 0.01), (60, 0.1, 5, 0.09), (90, 0.05, 2000, 0.03)):
+        want = seating_law(c, 1.0, 0.75, rest, base) @ np.arange(1, c + 1)
+        got = pitman_yor.seat(np.full(20_000, c), np.full(20_000, base), np.full(20_000, rest), 1.0, 0.75, rng.integers(0, 1 << 64, 20_000, dtype=np.uint64), 1)
+        assert got.min() >= 1 and got.max() <= c and got.mean() == pytest.approx(want, rel=off)
+
+
+def test_binomials():
+    rng = np.random.default_rng(3)
+    for n, p in ((2, 0.3), (40, 0.02), (40, 0.97), (5000, 0.001), (5000, 0.4)):
+        got = pitman_yor._binomial(n, np.full(40_000, p), rng.random(40_000), rng.random(40_000))
+        assert got.mean() == pytest.approx(n * p, rel=0.03) and got.std() == pytest.approx(math.sqrt(n * p * (1 - p)), rel=0.04)
+
+
+def spread(texts, held, parts, sweeps, samples, split=1, batches=1):
+    """The operator's parts, run one after the other in this process: scores of the texts."""
+    ways = np.full(1 << pitman_yor.COUNT_BITS, split, np.int32)
+    rows, where = [], []
+    for k, ids in enumerate(np.array_split(np.arange(len(texts)), batches)):
+        data, off = W.buffers(pa.array([texts[i] for i in ids], pa.string()))
+        rows += pitman_yor._batch_rows(k, data, off, np.array([held[i] for i in ids]), parts, ways)[0]
+        where.append(ids)
+    by = {p: pitman_yor.Partition([(b, x) for q, b, x in rows if q == p], parts, ways) for p in {r[0] for r in rows}}
+    first = None
+    for k in range(sweeps + 1):
+        asked = {}
+        for p, part in by.items():
+            for q, blob in part.ask():
+                asked.setdefault(q, []).append((p, blob))
+        first = first or asked
+        back = {}
+        for q, got in asked.items():
+            for p, blob in pitman_yor.answer(first[q], got):
+                back.setdefault(p, []).append((q, blob))
+        for p, part in by.items():
+            part.hear(back[p], last=k == sweeps)
+            if k > sweeps - samples:
+                part.mean += part.found / samples
+    score = np.zeros(len(texts))
+    for part in by.values():
+        for b, blob in zip(part.batches, part.sums(), strict=True):
+            _, there, value, _, _ = pitman_yor.load(blob)
+            score[where[b][there]] += value
+    return score
+
+
+def gibbs(texts, held, sweeps, burn, seed=0):
+    """The same model by the textbook: tables with their sizes, one customer after the other taken out and seated again."""
+    r = random.Random(seed)
+    lines = [["<"] + t.split() + [">"] for t in texts]
+    pairs = [list(zip(x[:-1], x[1:], strict=True)) for x in lines]
+    train = [p for x, h in zip(pairs, held, strict=True) if not h for p in x]
+    words = {w for _, w in train}
+    sizes, root, total, tables = {}, Counter(), Counter(), Counter()
+    base = lambda w: (root[w] + pitman_yor.ROOT_STRENGTH) / (pitman_yor.ROOT_STRENGTH * (len(words) + 1) + sum(root.values()))
+
+    def sit(u, w):
+        own = sizes.setdefault((u, w), [])
+        weights = [n - pitman_yor.DISCOUNT for n in own] + [(pitman_yor.STRENGTH + pitman_yor.DISCOUNT * tables[u]) * base(w)]
+        k = r.choices(range(len(weights)), weights)[0]
+        if k == len(own):
+            own.append(0)
+            root[w] += 1
+            tables[u] += 1
+        own[k] += 1
+        total[u] += 1
+
+    def leave(u, w):
+        own = sizes[u, w]
+        k = r.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        total[u] -= 1
+        if not own[k]:
+            own.pop(k)
+            root[w] -= 1
+            tables[u] -= 1
+
+    for p in train:
+        sit(*p)
+    mean = {p: 0.0 for x in pairs for p in x}
+    for k in range(sweeps):
+        for p in train:
+            leave(*p)
+            sit(*p)
+        if k >= burn:
+            for u, w in mean:
+                own = sizes.get((u, w), [])
+                mean[u, w] += (sum(own) - pitman_yor.DISCOUNT * len(own) + (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * tables[u]) * base(w)) / (pitman_yor.STRENGTH + total[u]) / (sweeps - burn)
+    return np.array([sum(math.log10(mean[p]) for p in x) for x in pairs])
+
+
+def small_corpus():
+    r = random.Random(8)
+    words, texts = [f"w{i}" for i in range(14)], []
+    for i in range(24):
+        at, text = r.randrange(14), []
+        for _ in range(r.randrange(3, 40)):
+            at = (at + r.choice([1, 1, 1, 2, 5])) % 14 if r.random() < 0.8 else r.randrange(14)
+            text.append(words[at] if r.random() < 0.97 else f"rare{r.randrange(30)}")
+        texts.append(" ".join(text))
+    return texts, [i % 6 == 0 for i in range(24)]
+
+
+def test_scores_are_those_of_a_plain_sampler():
+    """Within 2 % of the log-probability of each text, and 1 % of all."""
+    texts, held = small_corpus()
+    want, got = gibbs(texts, held, 300, 50), spread(texts, held, 1, 40, 30)
+    assert got == pytest.approx(want, rel=0.02) and got.sum() == pytest.approx(want.sum(), rel=0.01)
+
+
+def test_scores_do_not_follow_the_spread():
+    """Neither partitions nor batches, nor contexts that are dealt over several partitions, change a score."""
+    texts, held = small_corpus()
+    one = spread(texts, held, 1, 3, 2)
+    for parts, split, batches in ((1, 1, 5), (7, 1, 3), (7, 3, 3), (40, 50, 1)):
+        assert spread(texts, held, parts, 3, 2, split, batches) == pytest.approx(one, rel=1e-6)
 
 
 def brute_base(rows, held):
@@ -105,18 +204,19 @@ def is_held(d):
     return d is not None and zlib.crc32(str(d).encode()) % 10 == 0
 
 
-@pytest.mark.parametrize("hot", [1 / 512, 0.02])
-def test_base_scores_and_counts(spark, clashing, monkeypatch, hot):
-    monkeypatch.setattr(pitman_yor, "HOT_SHARE", hot)
+def test_base_scores_and_counts(spark, clashing, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PART_WORDS", 900)
     monkeypatch.setattr(pitman_yor, "LEAST_PARTS", 6)
     monkeypatch.setattr(pitman_yor, "BATCH_BYTES", 5_000)
     got = pitman_yor.score_texts(clashing, pitman_yor.held_out()).collect()
-    want = brute_base([(d, t) for d, t, _ in edge_rows()], is_held)
+    rows = [(d, t) for d, t, _ in edge_rows()]
+    want = brute_base(rows, is_held)
+    scores = spread([(t or "").translate(LOWER) for _, t in rows], [is_held(d) for d, _ in rows], 1, pitman_yor.SWEEPS, pitman_yor.SAMPLES)
     key = lambda d, n, k: (str(d), n, k)
-    got, want = sorted(got, key=lambda r: key(r["doc_id"], r["n_tokens"], r["n_known"])), sorted(want, key=lambda r: key(*r[:3]))
-    for r, w in zip(got, want, strict=True):
+    got, want = sorted(got, key=lambda r: key(r["doc_id"], r["n_tokens"], r["n_known"])), sorted(zip(want, scores, strict=True), key=lambda r: key(*r[0][:3]))
+    for r, (w, score) in zip(got, want, strict=True):
         assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == w[:4] and r["base_score"] == pytest.approx(w[4], rel=1e-9)
-        assert r["held_out"] == is_held(r["doc_id"]) and r["score"] < 0
+        assert r["held_out"] == is_held(r["doc_id"]) and r["score"] == pytest.approx(score, rel=1e-6)
     assert pitman_yor.score_texts(clashing.limit(0), pitman_yor.held_out()).collect() == []
 
 
@@ -168,4 +268,6 @@ def test_classifier_edges(spark, clashing):
     assert len(rows) == len(edge_rows()) and all(0 <= r["score"] <= 1 for r in rows)
     assert classifier.scored(clashing.limit(0), machine).collect() == []
     none = classifier.train(clashing, labels.limit(0), F.lit(True))
-    assert all(r["score"] == 0.5 for r in classifier.scored(clashing, none).where("false").collect())
+    assert {r["score"] for r in classifier.scored(clashing, none).collect()} == {0.5}
+    one = classifier.train(clashing, labels.where("doc_id IN (1, 9)"), F.lit(True))
+    assert {round(r["score"], 6) for r in classifier.scored(clashing, one).collect()} == {0.99}
