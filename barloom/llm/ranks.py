@@ -24,10 +24,12 @@ def bucket_count(rows: int) -> int:
 def numbered(df: DataFrame, key: str, mixed: Column, ties: list[str], name: str, buckets: int) -> DataFrame:
     """``df`` with a column ``name``: a gapless number from 0 inside each value of ``key`` (null is a value too).
 
-    ``mixed`` is a well-spread long of the row; rows are numbered by (its bucket, itself, ``ties``). The ties should
-    make the order total; rows equal in all of them are copies and may swap their numbers.
+    ``mixed`` is a well-spread whole number of the row from 0 to 2 ** 60 - 1; rows are numbered by (itself, ``ties``). Its
+    highest bits make the buckets, so their number never shows in the result. The ties should make the order total;
+    rows equal in all of them are copies and may swap their numbers.
     """
-    df = df.withColumn("_m", mixed).withColumn("_b", F.pmod(F.col("_m"), F.lit(buckets)).cast("int"))
+    bits = max(0, (buckets - 1).bit_length())
+    df = df.withColumn("_m", mixed).withColumn("_b", F.shiftright("_m", 60 - bits).cast("int"))
     counts = df.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_kb")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_k").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_k", "_kb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ranks
+from .shared import through_table
 
 #: Bits of the hash in a first cell, and bits that each refinement adds.
 FIRST_BITS, MORE_BITS = 12, 6
@@ -61,14 +62,13 @@ def _smallest(cells: list, prefix: list[int], low: int, high: int, shards: int,
     return low
 
 
-def _cells(hashed: DataFrame, ranges: list[tuple[int, int]] | None, bits: int) -> list[tuple[int, int, int, bool]]:
-    """(first hash, last hash, summed size, is one group) of the cells with rows, in order; only inside the given ranges."""
+def _cells(hashed: DataFrame, ranges: list[tuple[int, int]] | None, coarse: int, bits: int) -> list[tuple[int, int, int, bool]]:
+    """(first hash, last hash, summed size, is one group) of the cells of ``bits`` with rows, in order; only inside the
+    given ranges, which are cells of ``coarse`` bits."""
     shift = 64 - bits
     cell = F.shiftright(F.col("_h"), shift) if shift else F.col("_h")
     if ranges is not None:
-        spark = hashed.sparkSession
-        wanted = spark.createDataFrame(ranges, "_lo long, _hi long")  # bounded: a few cells for each cut
-        coarse = bits - MORE_BITS
+        wanted = hashed.sparkSession.createDataFrame(ranges, "_lo long, _hi long")  # bounded: a few cells for each cut
         hashed = hashed.join(F.broadcast(wanted), F.shiftright("_h", 64 - coarse) == F.shiftright("_lo", 64 - coarse), "left_semi")
     rows = hashed.groupBy(cell.alias("c")).agg(F.sum("_size").alias("s"), F.min("_h").alias("a"), F.max("_h").alias("b")).collect()
     out = []
@@ -78,11 +78,10 @@ def _cells(hashed: DataFrame, ranges: list[tuple[int, int]] | None, bits: int) -
     return out
 
 
-def minimax_cuts(docs: DataFrame, shards: int, text: str = "text", size: Column | None = None) -> tuple[list[int], int]:
-    """(The hashes that shards 1, 2, ... begin with, the smallest capacity). Texts are read once for each level of cells."""
-    own = F.coalesce(F.octet_length(text), F.lit(0)) + 1 if size is None else size
-    hashed = docs.select(_text_hash(F.col(text)).alias("_h"), own.cast("long").alias("_size"))
-    bits, cells = FIRST_BITS, _cells(hashed, None, FIRST_BITS)
+def minimax_cuts(hashed: DataFrame, shards: int) -> tuple[list[int], int]:
+    """(The hashes that shards 1, 2, ... begin with, the smallest capacity) of rows (_h, _size), which are read once for
+    each level of cells."""
+    cells = _cells(hashed, None, 0, FIRST_BITS)
     if not cells:
         return [], 0
     while True:
@@ -103,15 +102,15 @@ def minimax_cuts(docs: DataFrame, shards: int, text: str = "text", size: Column
             for i in range(max(0, bisect_left(prefix, a) - 1), min(len(cells), bisect_right(prefix, b))):
                 if not cells[i][3]:
                     split.add(i)
-        if not split or bits >= 64:
+        if not split:
             capacity = _smallest(cells, prefix, least if not split else low, prefix[-1], shards, loose=False)
             cuts = _walk(cells, prefix, capacity, shards, loose=False) or []
             return [cells[bisect_left(prefix, c)][0] for c in cuts], capacity
-        # only cells of the current width are split further; wider ones catch up level by level
+        # only the widest cells are split further; narrower ones wait until the others have caught up
         widest = max(cells[i][1] - cells[i][0] for i in split)
         now = {i for i in split if cells[i][1] - cells[i][0] == widest}
-        bits = 64 - (widest + 1).bit_length() + 1 + MORE_BITS
-        finer = _cells(hashed, [(cells[i][0], cells[i][1]) for i in sorted(now)], min(64, bits))
+        coarse = 64 - ((widest + 1).bit_length() - 1)
+        finer = _cells(hashed, [(cells[i][0], cells[i][1]) for i in sorted(now)], coarse, min(64, coarse + MORE_BITS))
         kept = [c for i, c in enumerate(cells) if i not in now]
         cells = sorted(kept + finer)
 
@@ -136,17 +135,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     Null texts count as empty ones: size 1, checksum 0, one group. Rows that repeat are rows of their own, with slots of
     their own. An empty table gives no rows. Shards may stay empty where few large groups fill the others.
     """
-    n = docs.count()
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    cuts, _ = minimax_cuts(own, shards)
-    none = F.coalesce(F.col("text"), F.lit(""))
-    h = F.col("_h")
+    none = F.coalesce(F.col(text), F.lit(""))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(none) + 1).cast("long").alias("_size"), F.crc32(none.cast("binary")).alias("text_crc32"), _text_hash(F.col(text)).alias("_h"))
+    sized = through_table(sized, "hashes")  # texts are read and hashed once
+    cuts, _ = minimax_cuts(sized.select("_h", "_size"), shards)
     shard = F.lit(0)
     for k, cut in enumerate(cuts, 1):
-        shard = F.when(h >= F.lit(cut), F.lit(k)).otherwise(shard)
-    sized = own.select("doc_id", (F.octet_length(none) + 1).cast("long").alias("size"), F.crc32(none.cast("binary")).alias("text_crc32"), _text_hash(F.col("text")).alias("_h"))
-    placed = sized.withColumn("shard", shard.cast("int")).drop("_h")
-    return ranks.numbered(placed, "shard", F.xxhash64("doc_id"), ["doc_id", "text_crc32"], "slot", ranks.bucket_count(n))
+        shard = F.when(F.col("_h") >= F.lit(cut), F.lit(k)).otherwise(shard)
+    placed = sized.select("doc_id", F.col("_size").alias("size"), "text_crc32", shard.cast("int").alias("shard"))
+    n = sized.count()
+    return ranks.numbered(placed, "shard", F.shiftrightunsigned(F.xxhash64("doc_id"), 4), ["doc_id", "text_crc32"], "slot", ranks.bucket_count(n))
 
 
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

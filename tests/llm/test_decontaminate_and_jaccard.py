@@ -31,38 +31,81 @@ def brute_hits(text, items):
             for i in range(len(w) - n + 1):
                 if w[i : i + n] == x[j : j + n]:
                     hit.update(range(i, i + n))
-                    found.add(str(k))
+                    found |= {str(k)} - {"None"}
     return len(w), len(hit), sorted(found)
 
 
+def brute_longest(text, items):
+    """(length, first place) of the longest run of an item's words in a text that holds a window."""
+    w, best = LETTERS.findall((text or "").translate(LOWER)), (0, 1)
+    for _, item in items:
+        x = LETTERS.findall((item or "").translate(LOWER))
+        for j in range(len(x)):
+            for i in range(len(w)):
+                n = 0
+                while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                    n += 1
+                if n and n >= min(10, len(x)):
+                    best = max(best, (n, -i))
+    return best[0], -best[1]
+
+
 def bench(spark):
     long = prose(1, 120).split()
     items = [(1, " ".join(long[20:50])), (2, " ".join(long[70:79])), (3, "The, the; THE"), (4, None), (5, ""), (6, "zzz"), (7, " ".join(long[:9]) + " nowhere " + " ".join(long[9:30])), (8, prose(9, 30)), (8, "one"), (None, "漢字 naïve")]
     return items, spark.createDataFrame(items, "item_id long, text string")
 
 
+def brute_rows(items):
+    """The very long text is looked at around its own planted words only, as it holds no other item's."""
+    rows = []
+    for d, t, _ in edge_rows():
+        words, hit, found = brute_hits(t, items) if d != 9 else (len(LETTERS.findall(t)), 9, ["9"])
+        long, place = brute_longest(t, items) if d != 9 else (9, 20_000)
+        rows.append((d, words, hit, tuple(found), long, place))
+    return Counter(rows)
+
+
 def test_contamination(spark, clashing, monkeypatch):
-    items, benchmark = bench(spark)
-    want = Counter((d, *brute_hits(t, items)[:2], tuple(brute_hits(t, items)[2])) for d, t, _ in edge_rows() if d != 9)
-    rows = [r for r in decontaminate.contamination(clashing, benchmark).collect() if r["doc_id"] != 9]
-    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in rows) == want
+    items, _ = bench(spark)
+    huge = next(t for d, t, _ in edge_rows() if d == 9).split()
+    items.append((9, " ".join(huge[20_000:20_009])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_rows(items)
+    shown = lambda rows: Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), r["longest_match"], r["match_place"]) for r in rows)
+    assert shown(decontaminate.contamination(clashing, benchmark).collect()) == want
     kept = decontaminate.decontaminate(clashing, benchmark)
     clean = Counter((d, t) for d, t, _ in edge_rows() if d != 9 and brute_hits(t, items)[1] == 0)
-    assert kept.columns == clashing.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] != 9) == clean
+    assert kept.columns == clashing.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == clean
     # a benchmark of many blocks and passes
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
-    rows = [r for r in decontaminate.contamination(clashing, benchmark).collect() if r["doc_id"] != 9]
-    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in rows) == want
-    assert Counter((r["doc_id"], r["text"]) for r in decontaminate.decontaminate(clashing, benchmark).collect() if r["doc_id"] != 9) == clean
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 3)
+    assert shown(decontaminate.contamination(clashing, benchmark).collect()) == want
+    assert Counter((r["doc_id"], r["text"]) for r in decontaminate.decontaminate(clashing, benchmark).collect()) == clean
     assert decontaminate.contamination(clashing.limit(0), benchmark).collect() == []
     assert all(r["n_hit"] == 0 for r in decontaminate.contamination(clashing, benchmark.limit(0)).collect())
 
 
-def test_longest_match(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "doc_id long, text string")
-    found = decontaminate.contamination(docs, spark.createDataFrame([(1, "x c d e f g y")], "item_id long, text string")).first()
-    assert (found["longest_match"], found["match_place"], found["n_hit"]) == (5, 2, 0)
+def test_longest_match_of_every_copy():
+    """All texts that hold a passage get its length, and many equal short items are one interval."""
+    passage = [f"p{i}" for i in range(14)]
+    texts = [" ".join(["x", "y"] + passage + ["z"]), " ".join(passage), " ".join(["q"] + passage[:11]), "the cat the dog the", "cat"]
+    items = decontaminate.Items(list(range(501)), [" ".join(passage) + " tail"] + ["the"] * 500, 10)
+    data, off = decontaminate.W.buffers(decontaminate.pa.array(texts))
+    shard = decontaminate.Shard(data, off)
+    shard.look_for(items)
+    assert shard.longest.tolist() == [14, 14, 11, 1, 0] and shard.place.tolist() == [2, 0, 1, 0, -1]
+    assert shard.n_hit().tolist() == [14, 14, 11, 3, 0] and [len(x) for x in shard.found] == [1, 1, 1, 500, 0]
+
+
+def test_highest_of_intervals():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 17, 64, 100):
+        begin = r.integers(0, n, 12)
+        end = np.array([r.integers(b + 1, n + 1) for b in begin])
+        value = r.integers(1, 9, 12)
+        want = [max([v for b, e, v in zip(begin, end, value, strict=True) if b <= i < e], default=0) for i in range(n)]
+        assert decontaminate._highest(n, begin, end, value).tolist() == want
 
 
 def shingles(t, width=4):

@@ -64,18 +64,19 @@ def edf(shares):
     names = sorted(shares, key=lambda x: (x is not None, x))
     period, had, out = sum(shares.values()), dict.fromkeys(shares, 0), []
     for t in range(period):
-        ready = [(-(-(had[s] + 1) * period // shares[s]), i, s) for i, s in enumerate(names) if had[s] < shares[s] and had[s] * period // shares[s] <= t]
-        _, _, s = min(ready)
+        ready = [(-(-(had[s] + 1) * period // shares[s]), -shares[s], i, s) for i, s in enumerate(names) if had[s] < shares[s] and had[s] * period // shares[s] <= t]
+        *_, s = min(ready)
         out.append((s, had[s]))
         had[s] += 1
     return out
 
 
-@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 33, "b": 1, "c": 7, "d": 19, None: 3}, {"a": 1, "b": 1, "c": 1}])
+@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 5, "b": 3, "c": 2}, {"a": 33, "b": 1, "c": 7, "d": 19, None: 3}, {"a": 1, "b": 1, "c": 1}, {"a": 2, "b": 2, "c": 4, "d": 1, "e": 1}, {f"s{i:02}": 1 + i * i % 7 for i in range(40)}])
 def test_period_schedule(spark, shares):
     rows = mixing.period_schedule(spark, shares).orderBy("slot").collect()
-    assert [(r["source"], r["turn"]) for r in rows] == edf(shares)
-    period, had = sum(shares.values()), Counter()
+    assert [(r["source"], r["turn"]) for r in rows] == edf(shares)[: len(rows)]
+    period, had = len(rows), Counter()
+    shares = {s: c * period / sum(shares.values()) for s, c in shares.items()}
     for t, r in enumerate(rows, 1):
         had[r["source"]] += 1
         for s, c in shares.items():
@@ -97,6 +98,16 @@ def test_mix_places_every_row_once(clashing):
     assert mixing.mix(clashing.limit(0), {"a": 1}).collect() == []
 
 
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SENT", 1_000)
+    docs = spark.range(15_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3_000, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("source"))
+    rows = mixing.mix(docs, mixing.tempered_shares(docs)).collect()
+    assert len(rows) == 15_000 and all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    assert len({(r["slot"], r["place"]) for r in rows}) == 15_000
+    hot = sorted({r["slot"] for r in rows if r["source"] == "hot"})
+    assert len(hot) == 3_000 // mixing.BLOCK_DOCS and hot[-1] > 10_000
+
+
 def test_mixed_order_keeps_all_rows(clashing):
     out = mixing.mixed_order(clashing, partitions=3)
     assert out.columns == clashing.columns
@@ -128,7 +139,7 @@ def test_minimax_is_the_smallest_capacity(spark, small, edge):
         for r in hashed:
             groups[r["h"]] += r["s"]
         sizes = [s for _, s in sorted(groups.items())]
-        _, capacity = sharding.minimax_cuts(docs, shards)
+        _, capacity = sharding.minimax_cuts(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("_size")), shards)
         assert greedy(sizes, capacity) <= shards < greedy(sizes, capacity - 1)
         rows = sharding.assign(docs, shards).collect()
         held = Counter()
@@ -137,6 +148,15 @@ def test_minimax_is_the_smallest_capacity(spark, small, edge):
         assert max(held.values()) == capacity and max(held) < shards
 
 
+def test_cells_are_split_to_single_hashes(spark, monkeypatch):
+    """Neighbouring hashes, which only cells of all 64 bits tell apart."""
+    rows = [((1 << 61) + i, 5 + i % 3) for i in range(40)] + [(-7, 3), (-6, 9)]
+    hashed = spark.createDataFrame(rows, "_h long, _size long")
+    cuts, capacity = sharding.minimax_cuts(hashed, 4)
+    sizes = [s for _, s in sorted(rows)]
+    assert greedy(sizes, capacity) <= 4 < greedy(sizes, capacity - 1) and set(cuts) <= {h for h, _ in rows}
+
+
 def test_shards(clashing):
     rows = sharding.assign(clashing, 4).collect()
     texts = {}
