@@ -16,12 +16,15 @@ import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .hot import hot_join
+from .shared import shared_folder, through_table
 
 #: Fixed values of the formats: header fields of ARC versions 1 and 2, and the profile of a revisit to an equal payload.
 FIELDS = {
@@ -31,6 +34,8 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are stored again rather than referred to.
 LEAST_REVISIT = 100
+#: Most digests of several records that are broadcast.
+MOST_SENT = 50_000
 #: Records of one WARC file, and bytes of pages in one ARC file.
 FILE_RECORDS = 2_000
 ARC_BYTES = 4 << 20
@@ -164,15 +169,14 @@ def arc_files(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             return pa.RecordBatch.from_pylist([{"name": name, "arc": write_arc(held, 1 + (task + files) % 2, name)}], schema=pa.schema([("name", pa.string()), ("arc", pa.binary())]))
 
         for batch in batches:
-            held, size = [], 0
-            for number, link, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((number, link, payload or b""))
-                size += len(payload or b"")
-                if size > ARC_BYTES:
-                    yield packed(held)
-                    files, held, size = files + 1, [], 0
-            if held:
-                yield packed(held)
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut, total = [0], np.cumsum(sizes)
+            while cut[-1] < len(sizes):  # up to the first page that fills the file
+                before = total[cut[-1] - 1] if cut[-1] else 0
+                cut.append(min(len(sizes), int(np.searchsorted(total, before + ARC_BYTES, "right")) + 1))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                held = zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True)
+                yield packed([(number, link, payload or b"") for number, link, payload in held])
                 files += 1
 
     return pages.select(F.col(page_id).cast("long"), url, F.col(html).cast("binary")).mapInArrow(run, "name string, arc binary")
@@ -206,13 +210,22 @@ def with_revisits(records: DataFrame) -> DataFrame:
 
     Of records with equal payloads of ``LEAST_REVISIT`` bytes and more, the one with the smallest number is the response.
     Rows that repeat that number are responses too; a record without a number refers to the response if there is one.
+
+    It is decided on numbers and digests alone. Up to ``MOST_SENT`` digests that stand for several records are broadcast,
+    and no payload is moved; more are joined to the numbers first, without a hot key, and then to the records by their
+    ids, which are theirs alone.
     """
-    large = records.where(F.col("payload_bytes") >= LEAST_REVISIT)
+    heads = through_table(records.select("number", "id", "digest", "payload_bytes").where(F.col("payload_bytes") >= LEAST_REVISIT), "heads")
     # counted and reduced before the shuffle, so a payload with very many copies is one row a task
-    first = large.groupBy(F.col("digest").alias("_digest")).agg(F.min(F.struct("number", "id")).alias("_any"), F.min(F.when(F.col("number").isNotNull(), F.struct("number", "id"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = first.where("_n > 1 AND _first IS NOT NULL").select("_digest", "_first")
-    joined = records.join(first, (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left")
-    return joined.withColumn("refers_to", F.when(~F.col("number").eqNullSafe(F.col("_first.number")), F.col("_first.id"))).drop("_digest", "_first")
+    first = heads.groupBy("digest").agg(F.min(F.when(F.col("number").isNotNull(), F.struct("number", "id"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = through_table(first.where("_n > 1 AND _first IS NOT NULL").select("digest", "_first"), "first")
+    refers = F.when(~F.col("number").eqNullSafe(F.col("_first.number")), F.col("_first.id"))
+    if first.count() <= MOST_SENT:
+        few = F.broadcast(first.withColumnRenamed("digest", "_digest"))
+        joined = records.join(few, (F.col("digest") == F.col("_digest")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left")
+        return joined.withColumn("refers_to", refers).drop("_digest", "_first")
+    known = hot_join(heads, first, "digest").select(F.col("id").alias("_id"), refers.alias("refers_to")).where("refers_to IS NOT NULL").dropDuplicates(["_id"])
+    return records.join(known, F.col("id") == F.col("_id"), "left").drop("_id")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -220,8 +233,9 @@ def write_warc(records: DataFrame, path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [warc_record(r["uri"], r["date"], r["id"], r["digest"], r["head"], r["payload"], r["refers_to"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
+            for at in range(0, batch.num_rows, 64):
+                rows = [warc_record(r["uri"], r["date"], r["id"], r["digest"], r["head"], r["payload"], r["refers_to"]) for r in batch.slice(at, 64).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
     rows = records.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
@@ -255,7 +269,7 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as ARC files, converted to WARC files in the shared folder, and read back."""
+    """Pages as ARC files, converted to WARC files in the shared folder, and read back. No pages give no rows."""
     records = convert(arc_files(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     path = shared_folder(spark, "warc")
     write_warc(with_revisits(records), path)

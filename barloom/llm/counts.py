@@ -47,13 +47,54 @@ class Pieces:
             self.by[n] = (h[order], np.array([scores[pieces[i]] for i in order], np.int64) * _TIE - 1)
 
 
+#: Most nodes of a level below which the paths that are left, if none branches, are followed one by one.
+FEW_PATHS = 64
+
+
+def _path_counts(prefix: np.ndarray, begin: int, depth: int, sizes: list[int], past: list[tuple[int, int]], pieces: Pieces) -> list[int]:
+    """Token counts of the pre-tokens of these ``sizes`` that begin at ``begin``, from a node at ``depth`` on.
+
+    ``past`` holds (score, tokens) of the path's last nodes, (_WORST, 0) where no pieces reach one; the forward scores
+    are the same as a level's. Where pieces end is looked up for many places at once.
+    """
+    best, found = list(past), {}
+    first = depth + 1 - len(past)  # the depth of best[0]
+    wanted, last = set(sizes), max(sizes)
+    for low in range(depth + 1, last + 1, 1 << 16):
+        high = min(last + 1, low + (1 << 16))
+        at, length, score = [], [], []
+        for n, (hashes, scores) in pieces.by.items():
+            stop = begin + np.arange(max(low, n), high)
+            h = W.span_hash(prefix, stop - n, stop)
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[k] == h)
+            at.append(stop[hit] - begin)
+            length.append(np.full(len(hit), n))
+            score.append((scores[k[hit]] + 1) // _TIE)
+        at, length, score = (np.concatenate(x) for x in (at, length, score))
+        order = np.argsort(at, kind="stable")
+        at, length, score = at[order], length[order].tolist(), score[order].tolist()
+        cut = np.searchsorted(at, np.arange(low, high + 1)).tolist()
+        for i, d in enumerate(range(low, high)):
+            top = (_WORST, 0)
+            for k in range(cut[i], cut[i + 1]):
+                v, t = best[d - length[k] - first]
+                if v != _WORST and (v + score[k], t - 1) > top:
+                    top = (v + score[k], t - 1)
+            best.append(top)
+            if d in wanted:
+                found[d] = 1 if top[0] == _WORST else -top[1]
+    return [found[s] for s in sizes]
+
+
 def trie_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Token counts of the pre-tokens at these byte spans, which should be distinct; -1 where no pieces spell one."""
+    """Token counts of the pre-tokens at these byte spans, which should be distinct; one that no pieces spell is one
+    unknown token."""
     prefix = W.prefix_hash(data, False)
     size = end - start
     order = np.argsort(-size, kind="stable")  # those that reach a level are a leading part
     start, size = start[order], size[order]
-    out = np.full(len(start), -1, np.int64)
+    out = np.zeros(len(start), np.int64)
     # values and counts of the nodes above, one array a level, and the node that each pre-token passes there
     value, count = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     node = [np.zeros(len(start), np.int64)]
@@ -87,7 +128,22 @@ def trie_counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, pieces: Pi
             value.pop(0), count.pop(0), node.pop(0)
         done = np.arange(int(np.searchsorted(-size, -depth, "left")), live)
         reached = own[done]
-        out[order[done]] = np.where(best[reached] == _WORST, -1, tokens[reached])
+        out[order[done]] = np.where(best[reached] == _WORST, 1, tokens[reached])
+        rest = int(np.searchsorted(-size, -depth, "left"))  # those that go on
+        if depth % 64 == 0 and 0 < rest and len(np.unique(own[:rest])) <= FEW_PATHS:
+            # the first of a node is its longest; if all others are its beginnings, nothing branches any more
+            nodes, lead = np.unique(own[:rest], return_index=True)
+            longest = start[lead][np.searchsorted(nodes, own[:rest])]
+            stop = size[:rest]
+            if (W.span_hash(prefix, start[:rest], start[:rest] + stop) == W.span_hash(prefix, longest, longest + stop)).all():
+                for node_, i in zip(nodes.tolist(), lead.tolist(), strict=True):
+                    mine = np.flatnonzero(own[:rest] == node_)
+                    past = []
+                    for v, t, places in zip(value, count, node, strict=True):
+                        x, n = int(v[places[i]]), int(t[places[i]])
+                        past.append((int(_WORST), 0) if x == _WORST else ((x + n) // _TIE, -n))
+                    out[order[mine]] = _path_counts(prefix, int(start[i]), depth, stop[mine].tolist(), past, pieces)
+                break
     return out
 
 
@@ -115,7 +171,8 @@ class Counter:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc id, n_bytes, n_pretokens, n_tokens) of every row; a null or empty text counts 0, repeated rows count alike."""
+    """(doc id, n_bytes, n_pretokens, n_tokens) of every row; a null or empty text counts 0, repeated rows count alike, no
+    rows give no rows. A pre-token that the pieces cannot spell is one unknown token."""
     sent = docs.sparkSession.sparkContext.broadcast(zipf_scores(read_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

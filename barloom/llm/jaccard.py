@@ -29,7 +29,7 @@ from . import words as W
 from .components import components
 from .fixed import fixed_table
 from .hot import block_pairs, hot_join, salted_join
-from .shared import Scratch
+from .shared import Scratch, through_table
 
 WIDTH = 4
 #: Threshold in hundredths: 100 * intersection >= PERCENT * union.
@@ -320,10 +320,8 @@ def one_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORP
     Rows are compared by numbers of their own, so those that share an id, or have none, are rows like all others. The
     numbers are written with the rows in the shared folder, so that they stay. Rows without words all stay.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_node"), F.struct("*").alias("_row"))
-    numbered = through_table(numbered, "numbered")
+    numbered = through_table(docs.select(F.monotonically_increasing_id().alias("_node"), F.struct("*").alias("_row")), "numbered")
     found = jaccard_components(numbered, "_node", "_row.text", width, percent).select(F.col("doc_id").alias("_member"), "component_id")
-    found = through_table(found, "found")
     named = found.join(numbered.select("_node", F.col("_row.doc_id").alias("_id")), F.col("_member") == F.col("_node"))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_node")).alias("_first")).select(F.col("_first._node").alias("_kept"))
     later = found.join(first, F.col("_member") == F.col("_kept"), "left_anti").select("_member")

@@ -43,9 +43,12 @@ def test_record_ids_hold_their_number():
         assert arc.record_number(i) == n and re.fullmatch(r"<urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-8[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}>", i)
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(arc, "MOST_SENT", most)
+    monkeypatch.setattr(arc, "ARC_BYTES", 300)
     same, other = "<p>" + "same " * 30 + "\r\n\r\nWARC/1.1\r\n", "é" * 60
-    pages = [(5, "http://a/1", same), (3, "http://a/2", same), (9, None, same), (3, "http://a/2", same), (4, "http://b", "tiny"), (6, "http://c", "tiny"), (7, "http://d", None), (8, "http://e", ""), (None, "http://f", same), (11, "x", other), (10, "y", other), (-2, "z", "long" * 50_000)]
+    pages = [(5, "http://a/1", same), (3, "http://a/2", same), (9, None, same), (3, "http://a/2", same), (4, "http://b", "tiny"), (6, "http://c", "tiny"), (7, "http://d", None), (8, "http://e", ""), (None, "http://f", same), (11, "x", other), (10, "y", other), (-2, "z", "long" * 500_000)]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("digest", F.lit("x"))
     path = shared_folder(spark, "warc")
     arc.write_warc(arc.with_revisits(arc.convert(arc.arc_files(table.repartition(3)))), path)

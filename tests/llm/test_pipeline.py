@@ -1,12 +1,13 @@
 """The whole pipeline against brute force on a small table."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm import mixing, packing, rules
 from barloom.llm.shared import through_table
 
-from .conftest import prose
+from .conftest import edge_rows, prose
 from .test_decontaminate_and_jaccard import brute_components, brute_hits
 from .test_rules_mixing_sharding import brute_counts
 from .test_words_and_packing import unpacked
@@ -16,7 +17,7 @@ def passes(t):
     n, chars, symbols, dup, rep = brute_counts(t)
     lines = len([x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")])
     upper, exclaims = sum(c.isupper() for c in t or ""), (t or "").count("!")
-    return not (n < 50 or 100 * rep > 50 * n or 10 * symbols > n or 100 * dup > 50 * lines or chars < 2 * n or chars > 20 * n or 100 * upper > 30 * chars or 100 * exclaims > 30 * n)
+    return not (n < 1 or 100 * rep > 50 * n or 10 * symbols > n or 100 * dup > 50 * lines or chars < 2 * n or chars > 20 * n or 100 * upper > 30 * chars or 100 * exclaims > 30 * n)
 
 
 def test_stages(spark, small):
@@ -70,3 +71,15 @@ def test_one_row_of_a_group_stays(spark):
     kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     assert kept.columns == ["doc_id", "text"]
     assert sorted(map(str, kept.collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in [(7, a), (None, b), (3, c), (3, d), (None, None), (None, "")])
+
+
+def test_edge_rows_through_all_stages(spark, edge, tmp_path):
+    """Nulls, empties, one very long text, copies and repeated rows, from table to tokens, and an empty table."""
+    items = spark.createDataFrame([(1, prose(3, 60)), (2, None)], "item_id long, text string")
+    for rows, name in ((edge, "some"), (edge.limit(0), "none")):
+        rows.withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    found = {d for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect() for d in r["doc_ids"]}
+    # of 1, 2 and the near copy 3 the first, of 7 and 8 the first; 10 is a benchmark's; null, blank and repetitive texts go
+    assert found == {1, 7, 9, None, 14, 17} - ({17} if not passes(dict((d, t) for d, t, _ in edge_rows())[17]) else set())
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []

@@ -154,6 +154,30 @@ def test_trie_agrees_with_a_unigram_tokenizer():
         assert sum(scores[t] for t in ids) == pytest.approx(best_score(w, scores)) and n == viterbi(w.encode(), whole)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_long_pretokens(monkeypatch, few):
+    """Paths that no longer branch are followed by themselves; the counts are those of the levels."""
+    monkeypatch.setattr(counts, "FEW_PATHS", few)
+    whole = {k.encode(): round(v * counts.SCALE) for k, v in {"a": -1.0, "b": -1.25, "ab": -1.5, "abc": -4.0, "c": -2.0, "ca": -2.5, "bca": -2.75, "aaaa": -1.5}.items()}
+    r = random.Random(6)
+    one = "".join(r.choice("abc") for _ in range(900))
+    words = [one, one[:300], one[:64], one[:500] + "d" + one[:100], "a" * 700, "a" * 701, "a" * 64, "b" * 65, "".join(r.choice("abc") for _ in range(200))]
+    data, off = W.buffers(pa.array(words))
+    got = counts.trie_counts(data, off[:-1], off[1:], counts.Pieces(whole))
+    assert got.tolist() == [1 if "d" in w else viterbi(w.encode(), whole) for w in words]
+
+
+def test_trie_counts_of_a_whole_table(spark, small):
+    scores, known = counts.zipf_scores(packing.read_ranks(packing.VOCABULARY)), {}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in counts.op9_trie_token_counts(spark, small).collect():
+        found = PATTERN.findall(texts[r["doc_id"]])
+        for w in found:
+            if w not in known:
+                known[w] = viterbi(w.encode(), scores)
+        assert (r["n_pretokens"], r["n_tokens"]) == (len(found), sum(known[w] for w in found))
+
+
 def best_score(w: str, scores: dict) -> float:
     best = [0.0] + [-1e9] * len(w)
     for i in range(1, len(w) + 1):
