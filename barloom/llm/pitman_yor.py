@@ -43,8 +43,10 @@ ROOT_STRENGTH = 0.5
 SWEEPS, SAMPLES = 2, 2
 BATCH_BYTES = 8 << 20
 BATCH_TEXTS = 1 << 16
+#: Bytes of texts whose words are hashed at once.
+HASH_BYTES = 1 << 20
 #: Words of a context partition, and of a part of a context that is dealt; fewest partitions. They bear on no result.
-PART_WORDS, LEAST_PARTS = 4_000_000, 16
+PART_WORDS, LEAST_PARTS = 2_000_000, 16
 COUNT_BITS = 20
 END, START = (W.mix64(np.array([k], np.uint64))[0] for k in (0xE4D, 0x57A27))
 
@@ -171,9 +173,9 @@ def _groups(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _batch_rows(number: int, data: np.ndarray, off: np.ndarray, held: np.ndarray, parts: int, ways: np.ndarray) -> tuple[list, np.ndarray]:
     """((partition, batch, blob) for every context partition with pairs of these texts; tokens a text)."""
-    hashes, first = W.word_hashes(data, off, W.NON_BLANK)
+    some = [W.word_hashes(part, cut, W.NON_BLANK) for _, _, part, cut in W.chunks(data, off, HASH_BYTES)]
+    hashes, n = np.concatenate([h for h, _ in some]), np.concatenate([np.diff(first) for _, first in some]) + 1
     texts = len(off) - 1
-    n = np.diff(first) + 1
     text = np.repeat(np.arange(texts, dtype=np.int64), n)
     token = np.full(len(text), END, np.uint64)
     token[np.arange(len(hashes)) + np.repeat(np.arange(texts), n - 1)] = hashes
@@ -351,7 +353,7 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
 
     def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
         data, off = W.buffers(batch.column(0))
-        for _, _, part, cut in W.chunks(data, off):
+        for _, _, part, cut in W.chunks(data, off, HASH_BYTES):
             h, first = W.word_hashes(part, cut, W.NON_BLANK)
             table += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(table))
             table[int(START >> np.uint64(64 - COUNT_BITS))] += len(cut) - 1
