@@ -37,7 +37,7 @@ PERCENT = 85
 #: Width and threshold of a corpus's near copies, looser than the query's.
 CORPUS_WIDTH, CORPUS_PERCENT = 5, 80
 #: Counters for shingles. They decide the order of shingles, never a result: what shares a counter is ordered as one.
-COUNT_BITS = 22
+COUNT_BITS = 21
 #: Most bits of the filter that tells which sets are needed; its size follows the pairs. Beyond, more sets are moved.
 NEED_BITS = 28
 #: Rows of one bucket that are passed in one task to find their leader, by the counters; a larger bucket has several.
@@ -90,10 +90,20 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def plain_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, hashes): the distinct shingles of every text in order of their hashes."""
+    text, h = W.shingles(*W.word_hashes(data, off, W.NON_BLANK), width)
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return np.searchsorted(text[new], np.arange(len(off))), h[new]
+
+
 def set_table(docs: DataFrame, counts: np.ndarray, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """(row, doc_id, n, print, cells, prefix, salts, hashes) of every row: a number of its own, its set's size, 128-bit
-    print, counts of hashes by their highest bits, prefix, and sorted hashes; ``salts`` has the number of leaders that a
-    prefix shingle's bucket may have."""
+    """(row, doc_id, n, print, cells, prefix, salts) of every row: a number of its own, its set's size, 128-bit print,
+    counts of hashes by their highest bits, and prefix; ``salts`` has the number of leaders that a prefix shingle's bucket
+    may have."""
     spark = docs.sparkSession
     # what a counter holds by chance isn't a sign of one frequent shingle
     likely = np.minimum(np.maximum(1, -(-(counts - 2 * int(counts.mean() + 1)) // BUCKET_ROWS)), 1 << 14).astype(np.int16)
@@ -106,24 +116,20 @@ def set_table(docs: DataFrame, counts: np.ndarray, doc_id: str, text: str, width
             for a, b, part, cut in W.chunks(data, off):
                 edge, h = ordered_sets(part, cut, seen, width)
                 n = np.diff(edge)
-                prints = np.stack([W.mix64(_sums(W.mix64(h ^ seed), edge) + n.astype(np.uint64)) for seed in _SEEDS], 1)
                 size = np.where(n > 0, _prefix_size(n, percent), 0)
                 cuts = np.concatenate(([0], np.cumsum(size)))
                 first = h[np.arange(cuts[-1]) + np.repeat(edge[:-1] - cuts[:-1], size)]
                 salts = ways[(first >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.int32)
                 own = np.repeat(np.arange(b - a), n)
                 cells = np.bincount(own * CELLS + (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=(b - a) * CELLS).astype(np.int32)
-                h = h[np.lexsort((h, own))]
                 lists = lambda x, c=cuts: pa.ListArray.from_arrays(pa.array(c.astype(np.int32)), pa.array(x))
-                whole = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(edge * 8), pa.py_buffer(h)]).cast(pa.binary())
-                known = pa.Array.from_buffers(pa.binary(16), b - a, [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), known, lists(cells, np.arange(b - a + 1) * CELLS), lists(_signed(first)), lists(salts), whole],
-                    ["row", "doc_id", "n", "print", "cells", "prefix", "salts", "hashes"],
+                    [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), _prints(h, edge), lists(cells, np.arange(b - a + 1) * CELLS), lists(_signed(first)), lists(salts)],
+                    ["row", "doc_id", "n", "print", "cells", "prefix", "salts"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n long, print binary, cells array<int>, prefix array<long>, salts array<int>, hashes binary"
+    schema = f"row long, doc_id {kind}, n long, print binary, cells array<int>, prefix array<long>, salts array<int>"
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id), F.col(text)).mapInArrow(run, schema)
 
 
@@ -133,6 +139,13 @@ CELL_BITS = 4
 CELLS = 1 << CELL_BITS
 
 
+def _prints(h: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """128 bits for each set, whatever the order of its hashes."""
+    n = np.diff(edge)
+    both = np.stack([W.mix64(_sums(W.mix64(h ^ seed), edge) + n.astype(np.uint64)) for seed in _SEEDS], 1)
+    return pa.Array.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(np.ascontiguousarray(both))]).cast(pa.binary())
+
+
 def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))
     return total[edge[1:]] - total[edge[:-1]]
@@ -207,35 +220,46 @@ def _alike(percent: int) -> Column:
     return (F.col("_na") + F.col("_nb") - apart) * (100 + percent) >= 2 * percent * (F.col("_na") + F.col("_nb"))
 
 
-def verified(sets: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose sets reach the threshold; ``pairs`` is a table that has each pair once.
 
-    Pairs that the suffix filter drops need no sets; of the others' sets, only those are moved.
+    Pairs that the suffix filter drops need no sets. The others' sets are made again from the texts, once for each print,
+    and only they are moved.
     """
-    spark = sets.sparkSession
+    spark = docs.sparkSession
 
     def known(side: str) -> DataFrame:
-        return sets.select(F.col("row").alias(side), F.col("n").alias(f"_n{side}"), F.col("cells").alias(f"_c{side}"))
+        return copies.select(F.col("node").alias(side), F.col("n").alias(f"_n{side}"), F.col("cells").alias(f"_c{side}"), F.col("print").alias(f"_p{side}"))
 
     half = scratch.table(hot_join(pairs.select("a", "b"), known("a"), "a"), "half")
-    likely = scratch.table(hot_join(half, known("b"), "b").where(_alike(percent)).select("a", "b"), "likely")
+    likely = scratch.table(hot_join(half, known("b"), "b").where(_alike(percent)).select("a", "b", "_pa", "_pb"), "likely")
     bits = min(NEED_BITS, max(16, (8 * likely.count()).bit_length()))
 
-    def slots(ids: pa.Array) -> np.ndarray:
-        return (W.mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    def slots(prints: pa.Array) -> np.ndarray:
+        first = np.frombuffer(prints.cast(pa.binary(16)).buffers()[1], np.uint64)[2 * prints.offset :][: 2 * len(prints) : 2]
+        return (first >> np.uint64(64 - bits)).astype(np.int64)
 
     def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
         for k in range(2):
             s = slots(batch.column(k))
             np.bitwise_or.at(table, s >> 3, (1 << (s & 7)).astype(np.uint8))
 
-    need = spark.sparkContext.broadcast(fixed_table(likely, 1 << bits - 3, np.dtype(np.uint8), fill, np.bitwise_or))
+    need = spark.sparkContext.broadcast(fixed_table(likely.select("_pa", "_pb"), 1 << bits - 3, np.dtype(np.uint8), fill, np.bitwise_or))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = need.value
         for batch in batches:
-            s = slots(batch.column(0))
-            yield batch.filter(pa.array(table[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1))
+            data, off = W.buffers(batch.column(0))
+            for _, _, part, cut in W.chunks(data, off):
+                edge, h = plain_sets(part, cut, width)
+                prints = _prints(h, edge)
+                s = slots(prints)
+                keep = pa.array((table[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1) & (np.diff(edge) > 0))
+                hashes = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(edge * 8), pa.py_buffer(h)])
+                yield pa.RecordBatch.from_arrays([prints.filter(keep), hashes.filter(keep).cast(pa.binary())], ["print", "hashes"])
+
+    # copies of one text are reduced before they are moved
+    needed = docs.select("text").mapInArrow(sets, "print binary, hashes binary").groupBy("print").agg(F.first("hashes").alias("hashes"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,12 +271,10 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch)
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    needed = sets.select("row", "hashes").mapInArrow(sift, "row long, hashes binary")
-
     def moved(side: str) -> DataFrame:
-        return needed.select(F.col("row").alias(side), F.col("hashes").alias(f"_{side}"))
+        return needed.select(F.col("print").alias(f"_p{side}"), F.col("hashes").alias(f"_{side}"))
 
-    both = salted_join(salted_join(likely, moved("a"), "a", "b", likely), moved("b"), "b", "a", likely)
+    both = salted_join(salted_join(likely, moved("a"), "_pa", "b", likely), moved("b"), "_pb", "a", likely)
     return both.select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
 
 
@@ -282,7 +304,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     with Scratch(spark) as scratch:
         sets = scratch.table(set_table(own, counts, "doc_id", "text", width, percent), "sets")
         some = sets.where("n > 0")
-        copies = scratch.table(some.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "copies")
+        copies = some.groupBy("print").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("cells").alias("cells"))
+        copies = scratch.table(copies, "copies")
         standing = some.join(copies.select(F.col("node").alias("row")), "row", "left_semi")
         listed = standing.select(F.col("row").alias("node"), "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("place", "e"))
         entries = listed.select(F.col("e.prefix").alias("shingle"), F.pmod(F.xxhash64("node"), F.col("e.salts")).cast("int").alias("salt"), F.col("e.salts").alias("salts"), "node", "n", "place")
@@ -290,7 +313,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
         star = shared.where((F.col("leader") != F.col("node")) & _possible(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
         star = scratch.table(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
-        links = scratch.table(verified(sets, star, percent, scratch).unionByName(_by_id(sets, copies, scratch)), "links")
+        links = scratch.table(verified(own, copies, star, width, percent, scratch).unionByName(_by_id(sets, copies, scratch)), "links")
         labels = components(links, scratch)
 
         # what has one label by now needs no further comparison
@@ -304,7 +327,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         rest = rest.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         rest = scratch.table(rest.join(star, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            labels = components(scratch.table(links.unionByName(verified(sets, rest, percent, scratch)), "all_links"), scratch)
+            labels = components(scratch.table(links.unionByName(verified(own, copies, rest, width, percent, scratch)), "all_links"), scratch)
 
         ids = scratch.table(copies.join(labels, "node", "left").select("print", "least", F.coalesce("label", "node").alias("label")), "ids")
         least = ids.groupBy("label").agg(F.min("least").alias("component_id"))
