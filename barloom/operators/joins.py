@@ -1,12 +1,13 @@
 """Alignment of other bars, rates and intervals with the chart's bars, as unions in time order.
 
 A union of both sides, sorted once by (symbol, time), carries the last value forward by a window; there is no range join
-that could blow up, and each side is shuffled once.
+that could blow up, and each side is shuffled once. What stands for all symbols, as rates do, is carried inside days, and
+from day to day by a table of days.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +23,8 @@ def asof(chart: DataFrame, other: DataFrame, stamp: Column, at: Column, value: C
     With ``gaps`` only on the first chart bar that sees it. Rows match on ``keys`` (by default the symbol).
     """
     keys = ["sym"] if keys is None else keys
-    left = chart.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], at.alias("_at"), F.lit(1).alias("_side"), F.struct("*").alias("_row"), F.lit(None).cast("long").alias("_stamp"), F.lit(None).cast("double").alias("_value"))
-    right = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], stamp.alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), stamp.alias("_stamp"), value.cast("double").alias("_value"))
+    left = chart.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], at.alias("_at"), F.lit(1).alias("_side"), F.struct("*").alias("_row"), F.lit(None).cast("long").alias("_stamp"), F.lit(None).cast(other.select(value.alias("v")).schema["v"].dataType).alias("_value"))
+    right = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], stamp.alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), stamp.alias("_stamp"), value.alias("_value"))
     order = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_at", "_side")
     seen = F.last(F.when(F.col("_side") == 0, F.struct("_stamp", "_value")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     both = left.unionByName(right).withColumn("_seen", seen)
@@ -71,6 +72,23 @@ def collapse(chart: DataFrame, lower: DataFrame, value: str, out: str, lookahead
     return b.withColumn(out, F.coalesce("_own", F.last("_last", ignorenulls=True).over(before))).drop("_inside", "_own", "_last")
 
 
+DAY = 86_400_000
+
+
+def carried(bars: DataFrame, quotes: DataFrame, value: str, out: str) -> DataFrame:
+    """``bars`` of all symbols with ``out``: the ``value`` of the last quote (``time``, ``value``) at or before each bar."""
+    rows = bars.select((F.col("time") / DAY).cast("long").alias("_day"), F.col("time").alias("_at"), F.lit(1).alias("_side"), F.struct("*").alias("_row"))
+    given = quotes.select((F.col("time") / DAY).cast("long").alias("_day"), F.col("time").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(value).alias("v")).alias("_quote"))
+    both = rows.unionByName(given, allowMissingColumns=True)
+    inside = Window.partitionBy("_day").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    # one row a day: the last quote of all days before it
+    days = both.groupBy(F.col("_day").alias("_d")).agg(F.max_by("_quote", F.when(F.col("_quote").isNotNull(), F.col("_at"))).alias("_last"))
+    before = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_d", F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    seen = both.withColumn("_seen", F.last("_quote", ignorenulls=True).over(inside)).where("_side = 1")
+    return seen.join(days, F.col("_day") == F.col("_d")).select("_row.*", F.coalesce("_seen", "_before")["v"].alias(out))
+
+
 def currency_rate(bars: DataFrame, quotes: DataFrame, source: str, target: str, out: str) -> DataFrame:
     """The latest quote (``from``, ``to``, ``effective_time``, ``rate``) at or before each bar; its inverse where only
     that is quoted; 1 for one currency."""
@@ -78,17 +96,83 @@ def currency_rate(bars: DataFrame, quotes: DataFrame, source: str, target: str,
         return bars.withColumn(out, F.lit(1.0))
     straight = (F.col("from") == source) & (F.col("to") == target)
     turned = (F.col("from") == target) & (F.col("to") == source)
-    if quotes.where(straight).isEmpty():
-        found = quotes.where(turned).select("effective_time", F.when(F.col("rate") != 0, 1 / F.col("rate")).alias("rate"))
-    else:
-        found = quotes.where(straight).select("effective_time", "rate")
-    # few quotes stand for all symbols: ranges between them, checked in size by the planner before it broadcasts
-    until = F.lead("effective_time").over(Window.partitionBy(F.lit(1)).orderBy("effective_time"))
-    ranges = found.select(F.col("effective_time").alias("_from"), until.alias("_until"), F.col("rate").alias(out))
-    return bars.join(ranges, (F.col("time") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("time") < F.col("_until"))), "left").drop("_from", "_until")
+    # whether the pair itself is quoted at all is one row, known when the plan runs
+    pair = quotes.where(straight | turned).select(F.col("effective_time").alias("time"), F.when(straight, F.struct(F.lit(True).alias("own"), F.col("rate").alias("r"))).otherwise(F.struct(F.lit(False).alias("own"), F.when(F.col("rate") != 0, 1 / F.col("rate")).alias("r"))).alias("q"))
+    own = carried(bars, pair.where("q.own").select("time", F.col("q.r").alias("r")), "r", "_straight")
+    both = carried(own, pair.where("NOT q.own").select("time", F.col("q.r").alias("r")), "r", "_turned")
+    return both.withColumn(out, F.coalesce("_straight", "_turned")).drop("_straight", "_turned")
+
+
+def _in_interval(bars: DataFrame, intervals: DataFrame, fields: list[str]) -> DataFrame:
+    """``bars`` with ``_in``: the fields of the (sym, open, close) interval that holds their opening, else null."""
+    seen = asof(bars, intervals, F.col("open"), F.col("time"), F.struct("close", *fields), "_in")
+    return seen.withColumn("_in", F.when(F.col("time") < F.col("_in.close"), F.col("_in")))
 
 
 def calendar(bars: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``bars`` with ``trading_day`` of the (sym, open, close, trading_day) interval that holds their opening, else null."""
-    days = intervals.select(F.col("sym").alias("_sym"), F.col("open").alias("_open"), F.col("close").alias("_close"), "trading_day")
-    return bars.join(days, (F.col("sym") == F.col("_sym")) & (F.col("time") >= F.col("_open")) & (F.col("time") < F.col("_close")), "left").drop("_sym", "_open", "_close")
+    """``bars`` with ``trading_day`` of the (sym, open, close, trading_day) interval that holds their opening, else null.
+
+    A symbol's intervals don't overlap."""
+    return _in_interval(bars, intervals, ["trading_day"]).withColumn("trading_day", F.col("_in.trading_day")).drop("_in")
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """Currency quotes from JSON lines: from, to, effective_time, rate; a quote marked ``unavailable`` has no rate."""
+    rows = spark.read.schema("from string, to string, effective_time long, rate double, unavailable boolean").json(path)
+    return rows.withColumn("rate", F.when(~F.coalesce("unavailable", F.lit(False)), F.col("rate"))).drop("unavailable")
+
+
+def read_calendar(spark: SparkSession, path: str) -> DataFrame:
+    """Intervals from JSON lines: sym, timezone, timeframe, and intervals of open, close and trading_day."""
+    rows = spark.read.schema("sym string, timezone string, timeframe string, intervals array<struct<open:long,close:long,trading_day:long>>").json(path)
+    return rows.select("sym", "timezone", "timeframe", F.inline("intervals"))
+
+
+def session_windows(bars: DataFrame, inside: Column, day: Column) -> DataFrame:
+    """``bars`` with ``window_id``, the number of the session that holds the bar (null outside), and ``trading_day``, the
+    ``day`` of the session's first bar; a session is a run of bars for which ``inside`` holds."""
+    order = Window.partitionBy("sym").orderBy("bar_index")
+    b = bars.withColumn("_inside", F.coalesce(inside, F.lit(False))).withColumn("_day", day)
+    opens = F.col("_inside") & (~F.coalesce(F.lag("_inside").over(order), F.lit(False)) | (F.lag("_day").over(order) != F.col("_day")))
+    b = b.withColumn("_n", F.count(F.when(opens, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.last(F.when(opens, F.col("_day")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumns({"window_id": F.when(F.col("_inside"), F.col("_n") - 1), "trading_day": F.when(F.col("_inside"), first)}).drop("_inside", "_day", "_n")
+
+
+def magnified(chart: DataFrame, lower: DataFrame) -> DataFrame:
+    """``chart`` with ``intrabars``: its lower bars in order, as (time, open, high, low, close); itself where it has none."""
+    prices = F.struct("time", "open", "high", "low", "close")
+    found = lower_tf(chart, lower.withColumn("_prices", prices), "_prices", "intrabars")
+    return found.withColumn("intrabars", F.when(F.size("intrabars") > 0, F.col("intrabars")).otherwise(F.array(prices)))
+
+
+def standard_prices(chart: DataFrame, standard: DataFrame) -> DataFrame:
+    """A chart of non-standard bars with ``std_open`` to ``std_close``, the standard bar's prices at the same time: what
+    orders are filled at. Null where there is none."""
+    own = standard.select("sym", "time", *[F.col(c).alias(f"std_{c}") for c in ("open", "high", "low", "close")])
+    return chart.join(own, ["sym", "time"], "left")
+
+
+def with_metadata(bars: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``bars`` with their symbol's constants (sym, mintick, qty_step, point_value, currency); a symbol without any has
+    0.01, 1, 1 and USD."""
+    known = bars.join(symbols, "sym", "left")
+    return known.withColumns({"mintick": F.coalesce("mintick", F.lit(0.01)), "qty_step": F.coalesce("qty_step", F.lit(1.0)), "point_value": F.coalesce("point_value", F.lit(1.0)), "currency": F.coalesce("currency", F.lit("USD"))})
+
+
+def provider_bars(updates: DataFrame) -> DataFrame:
+    """A provider's bars as its updates (sym, tf, seq, kind, time, prices) leave them: a forming bar is replaced by what
+    follows, a confirmed one stays. ``confirmed`` tells them apart."""
+    rank = F.struct((F.col("kind") == "confirmed").cast("int").alias("c"), "seq")
+    prices = ["open", "high", "low", "close", "volume"]
+    last = updates.groupBy("sym", "tf", "time").agg(F.max_by(F.struct(*prices), rank).alias("_b"), F.max(F.col("kind") == "confirmed").alias("confirmed"))
+    return last.select("sym", "tf", "time", "_b.*", "confirmed")
+
+
+def feedback(passes: DataFrame, frames: DataFrame) -> DataFrame:
+    """Each pass (sym, bar_index, pass, time) with its account's frame (position, equity, fills); reading it fails where a
+    frame is missing or of another time."""
+    given = frames.withColumnRenamed("time", "_time")
+    joined = passes.join(given, ["sym", "bar_index", "pass"], "left")
+    bad = F.col("_time").isNull() | (F.col("_time") != F.col("time"))
+    return joined.withColumn("time", F.when(bad, F.raise_error(F.lit("an account frame is missing or of another time")).cast("long")).otherwise(F.col("time"))).drop("_time")

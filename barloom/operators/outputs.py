@@ -115,3 +115,55 @@ def performance(trades: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(p).alias("netprofit"), F.coalesce(F.sum(F.when(p > 0, p)), F.lit(0.0)).alias("grossprofit"), F.coalesce(-F.sum(F.when(p < 0, p)), F.lit(0.0)).alias("grossloss"),
         F.avg(p).alias("avg_trade"), F.avg(F.when(p > 0, p)).alias("avg_winning_trade"), F.avg(F.when(p < 0, p)).alias("avg_losing_trade"),
     )
+
+
+ORDER_FIELDS = {"strategy.order.action": "action", "strategy.order.contracts": "size", "strategy.order.price": "entry_price", "strategy.order.id": "entry_id", "strategy.position_size": "position", "ticker": "sym", "time": "time", "close": "close"}
+
+
+def fill_alerts(fills: DataFrame, template: str) -> DataFrame:
+    """A message for each fill, with {{strategy.order.action}} and the like; fields that are no columns stay as they are."""
+    rows = fills.withColumn("action", F.when(F.col("side") > 0, "buy").otherwise("sell"))
+    parts, at = [], 0
+    for m in re.finditer(r"\{\{([\w.]+)\}\}", template):
+        column = ORDER_FIELDS.get(m[1])
+        parts += [F.lit(template[at : m.start()]), F.coalesce(F.col(column).cast("string"), F.lit("NaN")) if column in rows.columns else F.lit(m[0])]
+        at = m.end()
+    return rows.withColumn("message", F.concat(*parts, F.lit(template[at:])))
+
+
+def running_alerts(alerts: DataFrame, config: DataFrame) -> DataFrame:
+    """Alerts (sym, title, bar_index, ...) of those that run: ``config`` (sym, title, since, until) was frozen when each was
+    set up; an alert counts from ``since`` up to ``until``, if there is one."""
+    held = config.select("sym", "title", "since", "until")
+    joined = alerts.join(held, ["sym", "title"])
+    return joined.where("bar_index >= since AND (until IS NULL OR bar_index < until)").drop("since", "until")
+
+
+def to_json(result: DataFrame, keys: list[str], schema_version: int = 1) -> DataFrame:
+    """One JSON document a row of keys: {"schema": ..., "rows": [...]} with the rows in order of bar_index."""
+    fields = [c for c in result.columns if c not in keys]
+    rows = F.sort_array(F.collect_list(F.struct(*fields)))
+    return result.groupBy(*keys).agg(F.to_json(F.struct(F.lit(schema_version).alias("schema"), rows.alias("rows")), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(documents: DataFrame, keys: list[str], fields: str, schema_version: int = 1) -> DataFrame:
+    """The rows of such documents; reading one of another schema fails."""
+    parsed = documents.withColumn("_d", F.from_json("json", f"schema int, rows array<struct<{fields}>>", {"mode": "FAILFAST"}))
+    checked = F.when(F.col("_d.schema") == schema_version, F.col("_d.rows")).otherwise(F.raise_error(F.lit("a result of another schema")).cast(parsed.select("_d.rows").schema["rows"].dataType))
+    return parsed.select(*keys, F.inline(checked))
+
+
+def changes(old: DataFrame, new: DataFrame, keys: list[str], revision: int) -> DataFrame:
+    """What leads from one result to the next: rows of op insert, update or delete, with the new values and a revision."""
+    fields = [c for c in new.columns if c not in keys]
+    a = old.select(*keys, F.struct(*fields).alias("_old"))
+    b = new.select(*keys, F.struct(*fields).alias("_new"))
+    both = a.join(b, keys, "full")
+    op = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(~F.col("_old").eqNullSafe(F.col("_new")), "update")
+    return both.withColumn("op", op).where("op IS NOT NULL").select(*keys, "op", F.lit(revision).cast("long").alias("revision"), "_new.*")
+
+
+def retained(result: DataFrame, bars: int) -> DataFrame:
+    """Each symbol's rows of its last ``bars`` bars: the display window of a result that goes on."""
+    last = F.max("bar_index").over(Window.partitionBy("sym"))
+    return result.withColumn("_last", last).where(F.col("bar_index") > F.col("_last") - bars).drop("_last")

@@ -87,6 +87,7 @@ class Closed:
     drawdown: float
     entry_comment: str | None = None
     exit_comment: str | None = None
+    entry_fee: float = 0.0
 
 
 @dataclass
@@ -122,7 +123,10 @@ class Broker:
     trough: float = 0.0
     max_drawdown: float = 0.0
     max_runup: float = 0.0
-    held: float = 0.0
+    max_drawdown_percent: float = 0.0
+    max_runup_percent: float = 0.0
+    max_contracts_held_long: float = 0.0
+    max_contracts_held_short: float = 0.0
 
     # what is held
 
@@ -145,7 +149,88 @@ class Broker:
 
     @property
     def netprofit(self) -> float:
-        return sum(c.profit for c in self.closed)
+        """Of closed trades, less the fees that open ones have paid."""
+        return sum(c.profit for c in self.closed) - sum(t.fee for t in self.open)
+
+    @property
+    def initial_capital(self) -> float:
+        return self.s.initial_capital
+
+    def _percent(self, amount: float) -> float:
+        return 100 * amount / self.s.initial_capital if self.s.initial_capital > 0 else 0.0
+
+    @property
+    def openprofit_percent(self) -> float:
+        held = self.s.initial_capital + self.netprofit
+        return 100 * self.openprofit / held if held > 0 else math.nan
+
+    @property
+    def netprofit_percent(self) -> float:
+        return self._percent(self.netprofit)
+
+    @property
+    def grossprofit_percent(self) -> float:
+        return self._percent(self.grossprofit)
+
+    @property
+    def grossloss_percent(self) -> float:
+        return self._percent(self.grossloss)
+
+    def capital_of(self, trade) -> float:
+        """What a trade's entry took: its price and fee."""
+        price, fee = (trade.entry_price, getattr(trade, "entry_fee", 0.0)) if hasattr(trade, "entry_price") else (trade.price, trade.fee)
+        return price * trade.size * self.s.point_value + fee
+
+    def trade_amount(self, trade, what: str) -> float:
+        if what == "profit":
+            return trade.profit if hasattr(trade, "profit") else trade.side * trade.size * (self.mark - trade.price) * self.s.point_value
+        return trade.runup if what == "max_runup" else trade.drawdown
+
+    @staticmethod
+    def _mean(values: list) -> float:
+        return sum(values) / len(values) if values else math.nan
+
+    @property
+    def avg_trade(self) -> float:
+        return self._mean([c.profit for c in self.closed])
+
+    @property
+    def avg_winning_trade(self) -> float:
+        return self._mean([c.profit for c in self.closed if c.profit > 0])
+
+    @property
+    def avg_losing_trade(self) -> float:
+        return self._mean([-c.profit for c in self.closed if c.profit < 0])
+
+    def _shares(self) -> list[float]:
+        return [100 * c.profit / self.capital_of(c) for c in self.closed]
+
+    @property
+    def avg_trade_percent(self) -> float:
+        return self._mean(self._shares())
+
+    @property
+    def avg_winning_trade_percent(self) -> float:
+        return self._mean([p for p in self._shares() if p > 0])
+
+    @property
+    def avg_losing_trade_percent(self) -> float:
+        return self._mean([-p for p in self._shares() if p < 0])
+
+    @property
+    def max_contracts_held_all(self) -> float:
+        return max(self.max_contracts_held_long, self.max_contracts_held_short)
+
+    @property
+    def closedtrades_first_index(self) -> int:
+        return 0
+
+    @property
+    def opentrades_capital_held(self) -> float:
+        if not (self.s.margin_long or self.s.margin_short):
+            return math.nan
+        size = self.position_size
+        return abs(size) * self.mark * self.s.point_value * (self.s.margin_long if size > 0 else self.s.margin_short) / 100
 
     @property
     def grossprofit(self) -> float:
@@ -300,7 +385,7 @@ class Broker:
             n = min(left, t.size)
             share, exit_fee = n / t.size, fee * n / qty
             profit = t.side * n * (price - t.price) * self.s.point_value - t.fee * share - exit_fee
-            self.closed.append(Closed(t.id, order.id, t.side, n, t.price, price, t.bar, self.bar["bar_index"], t.time, self.bar["time"], profit, t.fee * share + exit_fee, t.runup * share, t.drawdown * share, t.comment, order.comment))
+            self.closed.append(Closed(t.id, order.id, t.side, n, t.price, price, t.bar, self.bar["bar_index"], t.time, self.bar["time"], profit, t.fee * share + exit_fee, t.runup * share, t.drawdown * share, t.comment, order.comment, t.fee * share))
             t.fee, t.runup, t.drawdown, t.size = t.fee * (1 - share), t.runup * (1 - share), t.drawdown * (1 - share), t.size - n
             left -= n
             if t.size <= 1e-12:
@@ -309,7 +394,7 @@ class Broker:
             self.open.append(Trade(order.id, order.side, left, price, self.bar["bar_index"], self.bar["time"], fee * left / qty, order.comment))
         self.fills.append((order.id, order.side, qty, price, self.bar["bar_index"], self.bar["time"], order.kind))
         self.risk.day_fills += 1
-        self.held = max(self.held, abs(self.position_size))
+        self.max_contracts_held_long, self.max_contracts_held_short = max(self.max_contracts_held_long, self.position_size), max(self.max_contracts_held_short, -self.position_size)
         if order.oca is not None and order.oca_type != "none":
             for o in list(self.orders):
                 if o is not order and o.oca == order.oca and o.oca_type == order.oca_type:
@@ -380,6 +465,10 @@ class Broker:
         r = self.risk
         self.peak, self.trough = max(self.peak, self.equity), min(self.trough, self.equity)
         self.max_drawdown, self.max_runup = max(self.max_drawdown, self.peak - self.equity), max(self.max_runup, self.equity - self.trough)
+        if self.peak > 0:
+            self.max_drawdown_percent = max(self.max_drawdown_percent, 100 * (self.peak - self.equity) / self.peak)
+        if self.trough > 0:
+            self.max_runup_percent = max(self.max_runup_percent, 100 * (self.equity - self.trough) / self.trough)
         limit = lambda rule, base: rule[0] if rule[1] == "cash" else base * rule[0] / 100
         stop = r.max_drawdown is not None and self.max_drawdown >= limit(r.max_drawdown, self.peak)
         stop = stop or r.max_cons_loss_days is not None and r.loss_days >= r.max_cons_loss_days

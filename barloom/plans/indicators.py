@@ -91,9 +91,7 @@ def windows() -> None:
     add("ta_stdev", lambda b: ta.stdev(ta.stdev(b, "close", n, "value"), "close", n, "sample", False), {"value": ready("close", n, sd), "sample": ready("close", n, f"stddev_samp(close) OVER {w}")})
     add("ta_variance", lambda b: ta.variance(ta.variance(b, "close", n, "value"), "close", n, "sample", False), {"value": ready("close", n, f"var_pop(close) OVER {w}"), "sample": ready("close", n, f"var_samp(close) OVER {w}")})
     add("ta_range", lambda b: ta.range_(b, "close", n, "value"), {"value": ready("close", n, f"max(close) OVER {w} - min(close) OVER {w}")})
-    mad = f"list_avg(list_transform({listed('close', n)}, lambda x: abs(x - avg(close) OVER {w})))"
     steps = f", l AS (SELECT *, {listed('close', n)} AS xs, avg(close) OVER {w} AS m, count(close) OVER {w} AS k FROM bars), d AS (SELECT *, CASE WHEN k = {n} THEN list_avg(list_transform(xs, lambda x: abs(x - m))) END AS dv FROM l)"
-    del mad
     add("ta_dev", lambda b: ta.dev(b, "close", n, "value"), {"value": "dv"}, steps, source="d")
     add("ta_cci", lambda b: ta.cci(b, "close", n, "value"), {"value": "(close - m) / nullif(0.015 * dv, 0)"}, steps, source="d")
     add("ta_cog", lambda b: ta.cog(b, "close", 10, "value"), {"value": "CASE WHEN k = 10 THEN -list_sum(list_transform(xs, lambda x, i: x * (11 - i))) / nullif(list_sum(xs), 0) END"}, f", d AS (SELECT *, {listed('close', 10)} AS xs, count(close) OVER {_window(10)} AS k FROM bars)", source="d")
@@ -163,6 +161,8 @@ def windows() -> None:
     levels = {
         "Traditional": ["(h + l + c) / 3", "2 * p - l", "2 * p - h", "p + (h - l)", "p - (h - l)", "2 * p + h - 2 * l", "2 * p - 2 * h + l", "3 * p + h - 3 * l", "3 * p - 3 * h + l", "4 * p + h - 4 * l", "4 * p - 4 * h + l"],
         "Fibonacci": ["(h + l + c) / 3", "p + 0.382 * (h - l)", "p - 0.382 * (h - l)", "p + 0.618 * (h - l)", "p - 0.618 * (h - l)", "p + (h - l)", "p - (h - l)"],
+        "Classic": ["(h + l + c) / 3", "2 * p - l", "2 * p - h", "p + (h - l)", "p - (h - l)", "p + 2 * (h - l)", "p - 2 * (h - l)", "p + 3 * (h - l)", "p - 3 * (h - l)"],
+        "DM": [f"(CASE WHEN o = c THEN h + l + 2 * c WHEN c > o THEN 2 * h + l + c ELSE 2 * l + h + c END){t}" for t in (" / 4", " / 2 - l", " / 2 - h")],
         "Camarilla": ["(h + l + c) / 3", "c + 1.1 * (h - l) / 12", "c - 1.1 * (h - l) / 12", "c + 1.1 * (h - l) / 6", "c - 1.1 * (h - l) / 6", "c + 1.1 * (h - l) / 4", "c - 1.1 * (h - l) / 4", "c + 1.1 * (h - l) / 2", "c - 1.1 * (h - l) / 2", "h / l * c", "c - (h / l * c - c)"],
     }
     for kind, exprs in levels.items():
@@ -172,7 +172,7 @@ def windows() -> None:
 
         QUERIES[f"ta_pivot_points_{kind.lower()}"] = points
         body = ", ".join(f"round({e} + 1e-9, 6) AS level{i}" for i, e in enumerate(exprs))
-        SQL[f"ta_pivot_points_{kind.lower()}"] = f"WITH {bars_sql()}, g AS (SELECT sym, bar_index // 24 + 1 AS grp, max(high) AS h, min(low) AS l, arg_max(close, bar_index) AS c FROM bars GROUP BY sym, bar_index // 24), k AS (SELECT *, (h + l + c) / 3 AS p FROM g) SELECT b.sym, b.bar_index, {body} FROM bars b LEFT JOIN k ON b.sym = k.sym AND b.bar_index // 24 = k.grp"
+        SQL[f"ta_pivot_points_{kind.lower()}"] = f"WITH {bars_sql()}, g AS (SELECT sym, bar_index // 24 + 1 AS grp, arg_min(open, bar_index) AS o, max(high) AS h, min(low) AS l, arg_max(close, bar_index) AS c FROM bars GROUP BY sym, bar_index // 24), k AS (SELECT *, (h + l + c) / 3 AS p FROM g) SELECT b.sym, b.bar_index, {body} FROM bars b LEFT JOIN k ON b.sym = k.sym AND b.bar_index // 24 = k.grp"
     add("ta_accdist", lambda b: ta.accdist(b, "value"), {"value": "CASE WHEN x IS NOT NULL THEN sum(x) OVER (PARTITION BY sym, grp ORDER BY bar_index ROWS UNBOUNDED PRECEDING) END"}, f", g AS (SELECT *, (2 * close - low - high) * volume / nullif(high - low, 0) AS x FROM bars), d AS (SELECT *, sum((x IS NULL)::INT) OVER {SO_FAR} AS grp FROM g)", source="d")
     add("ta_obv", lambda b: ta.obv(b, "value"), {"value": f"sum(sign(dx) * volume) OVER {SO_FAR}"}, dx, source="d")
     add("ta_pvt", lambda b: ta.pvt(b, "value"), {"value": f"sum(r) OVER {SO_FAR}"}, f", d AS (SELECT *, (close - lag(close) OVER {ORDER}) / nullif(lag(close) OVER {ORDER}, 0) * volume AS r FROM bars)", source="d")

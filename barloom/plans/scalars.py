@@ -320,10 +320,52 @@ def join_queries() -> None:
     SQL["bar_calendar"] = f"WITH {bars_sql()} SELECT sym, bar_index, CASE WHEN (time % 86400000) >= {8 * HOUR} AND (time % 86400000) < {20 * HOUR} THEN (time // 86400000)::DOUBLE END AS trading_day FROM bars"
     QUERIES["calc_bars_count"] = lambda s, d: latest(event_bars(s, d, HOUR), 50).select("sym", "bar_index", "time")
     SQL["calc_bars_count"] = f"WITH {bars_sql()}, m AS (SELECT sym, max(bar_index) AS top FROM bars GROUP BY sym) SELECT sym, bar_index - greatest(top - 49, 0) AS bar_index, time FROM bars JOIN m USING (sym) WHERE bar_index > top - 50"
-    prices = {"hl2": "(high + low) / 2", "hlc3": "(high + low + close) / 3", "hlcc4": "(high + low + close + close) / 4", "ohlc4": "(open + high + low + close) / 4"}
-    first = {"isfirst": "bar_index = 0", "islast": "bar_index = max(bar_index) OVER (PARTITION BY sym)", "last_bar_index": "max(bar_index) OVER (PARTITION BY sym)", "last_bar_time": "max(time) OVER (PARTITION BY sym)", "time_close": f"time + {HOUR}", "time_tradingday": "time - time % 86400000"}
-    QUERIES["bar_variables"] = lambda s, d: event_bars(s, d, HOUR).select("sym", "bar_index", "time", *[r6(F.expr(e)).alias(k) for k, e in prices.items()], *[F.expr(e).alias(k) for k, e in first.items()])
-    SQL["bar_variables"] = f"WITH {bars_sql()} SELECT sym, bar_index, time, {', '.join(f'{r(e)} AS {k}' for k, e in prices.items())}, {', '.join(f'{e} AS {k}' for k, e in first.items())} FROM bars"
+
+    def windows(s: SparkSession, d: str) -> DataFrame:
+        hour = F.floor(F.col("time") / HOUR) % 24
+        return joins.session_windows(event_bars(s, d, HOUR), (hour >= 8) & (hour < 20), F.floor(F.col("time") / 86_400_000)).select("sym", "bar_index", "window_id", "trading_day")
+
+    QUERIES["session_windows"] = windows
+    SQL["session_windows"] = f"""WITH {bars_sql()}, x AS (SELECT sym, bar_index, time // 86400000 AS day, (time % 86400000) >= {8 * HOUR} AND (time % 86400000) < {20 * HOUR} AS inside FROM bars)
+SELECT sym, bar_index, CASE WHEN inside THEN dense_rank() OVER (PARTITION BY sym, inside ORDER BY day) - 1 END AS window_id, CASE WHEN inside THEN day END AS trading_day FROM x"""
+
+    def magnifier(s: SparkSession, d: str) -> DataFrame:
+        small, big = two(s, d)
+        thin = small.where("bar_index % 9 > 5")
+        m = joins.magnified(big, thin)
+        return m.select("sym", "bar_index", F.size("intrabars").alias("n"), r6(F.element_at("intrabars", 1)["open"]).alias("first"), r6(F.array_max(F.transform("intrabars", lambda x: x["high"]))).alias("top"), F.element_at("intrabars", -1)["time"].alias("at"))
+
+    QUERIES["magnifier_groups"] = magnifier
+    SQL["magnifier_groups"] = f"""WITH {tables}, t AS (SELECT * FROM bars WHERE bar_index % 9 > 5),
+g AS (SELECT b.sym, b.bar_index, count(*)::INT AS n, arg_min(c.open, c.time) AS first, max(c.high) AS top, max(c.time) AS at FROM big b JOIN t c ON c.sym = b.sym AND c.time >= b.time AND c.time < b.time + {6 * HOUR} GROUP BY b.sym, b.bar_index)
+SELECT b.sym, b.bar_index, coalesce(g.n, 1)::INT AS n, {r('coalesce(g.first, b.open)')} AS first, {r('coalesce(g.top, b.high)')} AS top, coalesce(g.at, b.time) AS at FROM big b LEFT JOIN g USING (sym, bar_index)"""
+
+    def standard(s: SparkSession, d: str) -> DataFrame:
+        b = event_bars(s, d, HOUR)
+        ha = b.select("sym", "bar_index", "time", ((F.col("open") + F.col("high") + F.col("low") + F.col("close")) / 4).alias("close"))
+        known = joins.with_metadata(joins.standard_prices(ha, b.where("bar_index % 5 <> 0")), s.createDataFrame([("click", 0.25, 2.0, 5.0, "EUR")], "sym string, mintick double, qty_step double, point_value double, currency string"))
+        return known.select("sym", "bar_index", r6(F.col("close")).alias("close"), r6(F.col("std_close")).alias("std_close"), "mintick", "qty_step", "point_value", "currency")
+
+    QUERIES["standard_prices"] = standard
+    SQL["standard_prices"] = f"""WITH {bars_sql()} SELECT sym, bar_index, {r('(open + high + low + close) / 4')} AS close, {r('CASE WHEN bar_index % 5 <> 0 THEN close END')} AS std_close,
+CASE WHEN sym = 'click' THEN 0.25 ELSE 0.01 END::DOUBLE AS mintick, CASE WHEN sym = 'click' THEN 2 ELSE 1 END::DOUBLE AS qty_step, CASE WHEN sym = 'click' THEN 5 ELSE 1 END::DOUBLE AS point_value, CASE WHEN sym = 'click' THEN 'EUR' ELSE 'USD' END AS currency FROM bars"""
+
+    def provider(s: SparkSession, d: str) -> DataFrame:
+        b = event_bars(s, d, HOUR).withColumns({"tf": F.lit("60"), "seq": F.col("bar_index") * 10, "kind": F.lit("forming")})
+        more = b.withColumns({"seq": F.col("seq") + 1, "close": F.col("close") + 1})
+        done = b.where("bar_index % 2 = 0").withColumns({"seq": F.col("seq") - 5, "close": F.col("close") + 2, "kind": F.lit("confirmed")})
+        return joins.provider_bars(b.unionByName(more).unionByName(done)).select("sym", "time", r6(F.col("close")).alias("close"), "confirmed")
+
+    QUERIES["provider_bars"] = provider
+    SQL["provider_bars"] = f"WITH {bars_sql()} SELECT sym, time, {r('close + CASE WHEN bar_index % 2 = 0 THEN 2 ELSE 1 END')} AS close, bar_index % 2 = 0 AS confirmed FROM bars"
+
+    def account(s: SparkSession, d: str) -> DataFrame:
+        b = event_bars(s, d, HOUR).select("sym", "bar_index", F.lit(0).alias("pass"), "time")
+        frames = b.select("sym", "bar_index", "pass", "time", (F.col("bar_index") % 3).cast("double").alias("position"), (1000 + F.col("bar_index")).cast("double").alias("equity"))
+        return joins.feedback(b, frames).select("sym", "bar_index", "time", "position", "equity")
+
+    QUERIES["account_feedback"] = account
+    SQL["account_feedback"] = f"WITH {bars_sql()} SELECT sym, bar_index, time, (bar_index % 3)::DOUBLE AS position, (1000 + bar_index)::DOUBLE AS equity FROM bars"
 
 
 values()

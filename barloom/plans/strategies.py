@@ -122,3 +122,45 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["drawing_labels"] = labels
 SQL["drawing_labels"] = f"""{_CROSSED}, x AS (SELECT sym, bar_index AS id, CASE WHEN close < open THEN low ELSE high END AS y, CASE WHEN fast > slow THEN 'up' ELSE 'down' END AS text FROM c WHERE ((fast > slow AND f1 <= s1) OR (fast < slow AND f1 >= s1)) AND bar_index % 10 <> 0)
 SELECT sym, id, round(y + 1e-9, 6) AS y, text FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY id DESC) AS k FROM x) WHERE k <= 20"""
+
+
+def _fill_messages(s: SparkSession, d: str) -> DataFrame:
+    fills = backtest(crossing(s, d), reversing, Settings()).where("row = 'fill'")
+    return outputs.fill_alerts(fills.withColumn("n", F.col("size").cast("int")), "{{ticker}} {{strategy.order.action}} {{strategy.order.id}} {{nothing}}").select("sym", "number", "message")
+
+
+QUERIES["order_fill_alerts"] = _fill_messages
+SQL["order_fill_alerts"] = _SIGNALS + " SELECT sym, number, sym || CASE WHEN side > 0 THEN ' buy long ' ELSE ' sell short ' END || '{{nothing}}' AS message FROM t"
+
+
+def _running(s: SparkSession, d: str) -> DataFrame:
+    alerts = outputs.alertcondition(crossing(s, d), F.col("up"), "crossed", "x")
+    config = s.createDataFrame([("click", "crossed", 30, None), ("view", "crossed", 0, 60), ("view", "other", 0, None)], "sym string, title string, since long, until long")
+    return outputs.running_alerts(alerts, config).select("sym", "bar_index", "title")
+
+
+QUERIES["running_alerts"] = _running
+SQL["running_alerts"] = f"{_CROSSED} SELECT sym, bar_index, 'crossed' AS title FROM c WHERE fast > slow AND f1 <= s1 AND (sym = 'click' AND bar_index >= 30 OR sym = 'view' AND bar_index < 60)"
+
+
+def _round_trip(s: SparkSession, d: str) -> DataFrame:
+    b = crossing(s, d).select("sym", "bar_index", "close", "slow")
+    return outputs.from_json(outputs.to_json(b, ["sym"]), ["sym"], "bar_index: long, close: double, slow: double").select("sym", "bar_index", _r(F.col("close")).alias("close"), _r(F.col("slow")).alias("slow"))
+
+
+QUERIES["json_round_trip"] = _round_trip
+SQL["json_round_trip"] = f"{_CROSSED} SELECT sym, bar_index, round(close + 1e-9, 6) AS close, round(slow + 1e-9, 6) AS slow FROM c"
+
+
+def _deltas(s: SparkSession, d: str) -> DataFrame:
+    b = event_bars(s, d, HOUR).select("sym", "bar_index", "close")
+    new = b.where("bar_index > 4").withColumn("close", F.when(F.col("bar_index") % 10 == 0, F.col("close") + 1).otherwise(F.col("close")))
+    found = outputs.changes(b.where("bar_index < 60"), new, ["sym", "bar_index"], 7)
+    return found.select("sym", "bar_index", "op", "revision", _r(F.col("close")).alias("close"))
+
+
+QUERIES["result_changes"] = _deltas
+SQL["result_changes"] = f"""WITH {bars_sql()} SELECT sym, bar_index, CASE WHEN bar_index <= 4 THEN 'delete' WHEN bar_index >= 60 THEN 'insert' ELSE 'update' END AS op, 7::BIGINT AS revision,
+CASE WHEN bar_index > 4 THEN round(close + CASE WHEN bar_index % 10 = 0 THEN 1 ELSE 0 END + 1e-9, 6) END AS close FROM bars WHERE bar_index <= 4 OR bar_index >= 60 OR bar_index % 10 = 0"""
+QUERIES["output_retention"] = lambda s, d: outputs.retained(event_bars(s, d, HOUR).select("sym", "bar_index", "time"), 30)
+SQL["output_retention"] = f"WITH {bars_sql()} SELECT sym, bar_index, time FROM (SELECT *, max(bar_index) OVER (PARTITION BY sym) AS top FROM bars) WHERE bar_index > top - 30"
