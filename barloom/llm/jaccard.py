@@ -233,7 +233,7 @@ def verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, width: int, p
 
     half = scratch.table(hot_join(pairs.select("a", "b"), known("a"), "a"), "half")
     likely = scratch.table(hot_join(half, known("b"), "b").where(_alike(percent)).select("a", "b", "_pa", "_pb"), "likely")
-    bits = min(NEED_BITS, max(16, (8 * likely.count()).bit_length()))
+    bits = min(NEED_BITS, max(16, (64 * likely.count()).bit_length()))
 
     def slots(prints: pa.Array) -> np.ndarray:
         first = np.frombuffer(prints.cast(pa.binary(16)).buffers()[1], np.uint64)[2 * prints.offset :][: 2 * len(prints) : 2]
@@ -260,6 +260,7 @@ def verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, width: int, p
 
     # copies of one text are reduced before they are moved
     needed = docs.select("text").mapInArrow(sets, "print binary, hashes binary").groupBy("print").agg(F.first("hashes").alias("hashes"))
+    needed = scratch.table(needed, "needed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
