@@ -38,8 +38,11 @@ PERCENT = 85
 CORPUS_WIDTH, CORPUS_PERCENT = 5, 80
 #: Counters for shingles. They decide the order of shingles, never a result: what shares a counter is ordered as one.
 COUNT_BITS = 21
-#: Most bits of the filter that tells which sets are needed; its size follows the pairs. Beyond, more sets are moved.
-NEED_BITS = 28
+#: Most bits, as a power of two, of the filter that tells which sets a side of the pairs needs; its size follows the pairs.
+#: Beyond, more sets are moved.
+NEED_BITS = 27
+#: Slots of a set in that filter, while it has bits for so many.
+NEED_SLOTS = 4
 #: Rows of one bucket that are passed in one task to find their leader, by the counters; a larger bucket has several.
 BUCKET_ROWS = 20_000
 #: Rows of one bucket that are joined with themselves in one task at least; of a larger bucket, blocks are joined.
@@ -233,18 +236,22 @@ def verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, width: int, p
 
     half = scratch.table(hot_join(pairs.select("a", "b"), known("a"), "a"), "half")
     likely = scratch.table(hot_join(half, known("b"), "b").where(_alike(percent)).select("a", "b", "_pa", "_pb"), "likely")
-    bits = min(NEED_BITS, max(16, (64 * likely.count()).bit_length()))
+    found = likely.count()
+    bits = min(NEED_BITS, max(16, (64 * found).bit_length()))
+    ways = max(1, min(NEED_SLOTS, (1 << bits) // (2 * found + 1)))
 
-    def slots(prints: pa.Array) -> np.ndarray:
-        first = np.frombuffer(prints.cast(pa.binary(16)).buffers()[1], np.uint64)[2 * prints.offset :][: 2 * len(prints) : 2]
-        return (first >> np.uint64(64 - bits)).astype(np.int64)
+    def slots(prints: pa.Array, side: int) -> list[np.ndarray]:
+        """Places of the sets in the filter of a side: ``ways`` of each."""
+        both = np.frombuffer(prints.cast(pa.binary(16)).buffers()[1], np.uint64)[2 * prints.offset :][: 2 * len(prints)]
+        place = (both[::2] + np.uint64(k) * (both[1::2] | np.uint64(1)) for k in range(ways))
+        return [(p >> np.uint64(64 - bits)).astype(np.int64) + (side << bits) for p in place]
 
     def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        for k in range(2):
-            s = slots(batch.column(k))
-            np.bitwise_or.at(table, s >> 3, (1 << (s & 7)).astype(np.uint8))
+        for side in range(2):
+            for s in slots(batch.column(side), side):
+                np.bitwise_or.at(table, s >> 3, (1 << (s & 7)).astype(np.uint8))
 
-    need = spark.sparkContext.broadcast(fixed_table(likely.select("_pa", "_pb"), 1 << bits - 3, np.dtype(np.uint8), fill, np.bitwise_or))
+    need = spark.sparkContext.broadcast(fixed_table(likely.select("_pa", "_pb"), 2 << bits - 3, np.dtype(np.uint8), fill, np.bitwise_or))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = need.value
@@ -253,14 +260,15 @@ def verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, width: int, p
             for _, _, part, cut in W.chunks(data, off):
                 edge, h = plain_sets(part, cut, width)
                 prints = _prints(h, edge)
-                s = slots(prints)
-                keep = pa.array((table[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1) & (np.diff(edge) > 0))
+                asked = [np.logical_and.reduce([table[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1 for s in slots(prints, side)]) & (np.diff(edge) > 0) for side in range(2)]
+                keep = pa.array(asked[0] | asked[1])
                 hashes = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(edge * 8), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([prints.filter(keep), hashes.filter(keep).cast(pa.binary())], ["print", "hashes"])
+                columns = [prints, pa.array(asked[0]), pa.array(asked[1]), hashes]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns[:3]] + [columns[3].filter(keep).cast(pa.binary())], ["print", "for_a", "for_b", "hashes"])
 
-    # copies of one text are reduced before they are moved
-    needed = docs.select("text").mapInArrow(sets, "print binary, hashes binary").groupBy("print").agg(F.first("hashes").alias("hashes"))
-    needed = scratch.table(needed, "needed")
+    # copies of one text are reduced before they are moved; the filter says the same of all of them
+    needed = docs.select("text").mapInArrow(sets, "print binary, for_a boolean, for_b boolean, hashes binary")
+    needed = scratch.table(needed.groupBy("print").agg(*(F.first(c).alias(c) for c in ("for_a", "for_b", "hashes"))), "needed")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +281,7 @@ def verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, width: int, p
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     def moved(side: str) -> DataFrame:
-        return needed.select(F.col("print").alias(f"_p{side}"), F.col("hashes").alias(f"_{side}"))
+        return needed.where(f"for_{side}").select(F.col("print").alias(f"_p{side}"), F.col("hashes").alias(f"_{side}"))
 
     both = salted_join(salted_join(likely, moved("a"), "_pa", "b", likely), moved("b"), "_pb", "a", likely)
     return both.select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long")
