@@ -124,7 +124,8 @@ def set_table(docs: DataFrame, counts: np.ndarray, doc_id: str, text: str, width
                 first = h[np.arange(cuts[-1]) + np.repeat(edge[:-1] - cuts[:-1], size)]
                 salts = ways[(first >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.int32)
                 own = np.repeat(np.arange(b - a), n)
-                cells = np.bincount(own * CELLS + (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=(b - a) * CELLS).astype(np.int32)
+                cells = np.bincount(own * CELLS + (h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=(b - a) * CELLS)
+                cells = np.minimum(cells, CELL_MOST).astype(np.int8)
                 lists = lambda x, c=cuts: pa.ListArray.from_arrays(pa.array(c.astype(np.int32)), pa.array(x))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), _prints(h, edge), lists(cells, np.arange(b - a + 1) * CELLS), lists(_signed(first)), lists(salts)],
@@ -132,14 +133,16 @@ def set_table(docs: DataFrame, counts: np.ndarray, doc_id: str, text: str, width
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, n long, print binary, cells array<int>, prefix array<long>, salts array<int>"
+    schema = f"row long, doc_id {kind}, n long, print binary, cells array<tinyint>, prefix array<long>, salts array<int>"
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id), F.col(text)).mapInArrow(run, schema)
 
 
 #: What a set's two 64-bit prints are seeded with.
 _SEEDS = tuple(np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC6A4A7935BD1E995))
-CELL_BITS = 4
+CELL_BITS = 7
 CELLS = 1 << CELL_BITS
+#: Counts of cells are cut off here, so that they are bytes. Two cut counts differ by no more than the whole ones do.
+CELL_MOST = 127
 
 
 def _prints(h: np.ndarray, edge: np.ndarray) -> pa.Array:
@@ -219,7 +222,7 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
 
 def _alike(percent: int) -> Column:
     """Suffix filter: two sets whose counts of hashes in the cells differ so much cannot reach the threshold."""
-    apart = F.aggregate(F.zip_with("_ca", "_cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("_ca", "_cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     return (F.col("_na") + F.col("_nb") - apart) * (100 + percent) >= 2 * percent * (F.col("_na") + F.col("_nb"))
 
 

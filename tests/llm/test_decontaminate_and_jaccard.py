@@ -217,3 +217,16 @@ def test_fixed_table(spark):
 
     table = fixed.fixed_table(spark.range(0, 200_000, 3, 5), 200_000, np.dtype(np.int64), fill, np.add)
     assert table.sum() == 66_667 and (table[::3] == 1).all()
+
+
+def test_suffix_filter_keeps_links_of_sets_whose_cells_are_cut_off(spark):
+    from barloom.llm import jaccard as J
+
+    words = [f"w{i}" for i in range(3 * J.CELLS * J.CELL_MOST)]
+    near = list(words)
+    near[::100] = [f"x{i}" for i in range(len(words[::100]))]
+    far = list(words)
+    far[::4] = [f"y{i}" for i in range(len(words[::4]))]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words[: len(words) // 2]))], "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()}
+    assert found == {1: (len(words) - 3, 1), 2: (len(words) - 3, 1), 3: (len(words) - 3, 3), 4: (len(words) // 2 - 3, 4)}
