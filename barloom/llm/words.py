@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (one text may be longer).
 CHUNK_BYTES = 4 << 20
+#: Bytes of text whose words are hashed at once (one text may be longer): each takes some 40 bytes meanwhile.
+HASH_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse mod 2**64
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -122,8 +124,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def word_hashes(data: np.ndarray, off: np.ndarray, kind: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, each text's first word's number)."""
-    start, end, first = spans(data, off, kind)
-    return span_hash(prefix_hash(data, fold), start, end), first
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for _, _, part, cut in chunks(data, off, HASH_BYTES):
+        start, end, first = spans(part, cut, kind)
+        hashes.append(span_hash(prefix_hash(part, fold), start, end))
+        counts.append(np.diff(first))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
 def hash_words(words: list[bytes], fold: bool = True) -> np.ndarray:
