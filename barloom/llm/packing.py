@@ -59,7 +59,15 @@ class Encoder:
         self.size.extend(np.zeros(1, np.int32))
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(all tokens, each text's first token's number and one more at the end)."""
+        """(all tokens, each text's first token's number and one more at the end), by stretches of texts."""
+        found, counts = [np.zeros(0, self.kind)], [np.zeros(1, np.int64)]
+        for _, _, part, cut in W.chunks(data, off, W.HASH_BYTES):
+            tokens, edge = self._encode(part, cut)
+            found.append(tokens)
+            counts.append(np.diff(edge))
+        return np.concatenate(found), np.cumsum(np.concatenate(counts))
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, end, first = P.pretokens(data, off)
         if not len(start):
             return np.zeros(0, self.kind), np.zeros(len(off), np.int64)
