@@ -4,7 +4,8 @@
 2. Of sets that agree in all (copies, but for the order and blanks), one stands for all; its row is their node. What
    follows knows nodes only, never ids, so rows that share an id, or have none, are rows like all others.
 3. Two sets that reach the threshold share a shingle within their prefixes. Prefixes are dealt by shingle; shingles that
-   only one set has are dropped there, every other becomes a bucket whose smallest node is its leader.
+   only one set has are dropped there, every other becomes a bucket. Its leader is the set in which fewest rarer
+   shingles stand before: of near copies, one with few changes, which most others are near to.
 4. Each set is compared with the leaders of its buckets, once per pair, by exact intersection. Sets that reach one get
    its label, so a large group of near copies is joined by a star, not by all its pairs.
 5. Pairs that still have different labels, share a prefix shingle and pass the length and positional filters are compared,
@@ -45,6 +46,8 @@ NEED_BITS = 27
 NEED_SLOTS = 4
 #: Rows of one bucket that are passed in one task to find their leader, by the counters; a larger bucket has several.
 BUCKET_ROWS = 20_000
+#: Most bits, as a power of two, of the filter that tells which rows may go. Beyond, more rows are moved.
+GONE_BITS = 27
 #: Rows of one bucket that are joined with themselves in one task at least; of a larger bucket, blocks are joined.
 BLOCK_ROWS = 64
 
@@ -160,7 +163,7 @@ def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
 def _shared(entries: DataFrame) -> DataFrame:
     """``entries`` of buckets with two sets or more, with their bucket's leader.
 
-    A bucket's rows pass in order of the node, so nothing of it is held but the leader. A salted bucket is passed in
+    A bucket's rows pass in order of the place, so nothing of it is held but the leader. A salted bucket is passed in
     parts, each with a leader; all its rows stay.
     """
     fields = ["shingle", "salt", "salts", "node", "n", "place"]
@@ -199,7 +202,7 @@ def _shared(entries: DataFrame) -> DataFrame:
             yield whole.filter(pa.array(keep))
 
     names = [*fields, "leader", "leader_n", "leader_place"]
-    return entries.select(*fields).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node").mapInArrow(run, schema)
+    return entries.select(*fields).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "place", "node").mapInArrow(run, schema)
 
 
 def _possible(n: Column, place: Column, m: Column, other: Column, percent: int) -> Column:
@@ -272,6 +275,7 @@ def verified(docs: DataFrame, copies: DataFrame, pairs: DataFrame, width: int, p
     # copies of one text are reduced before they are moved; the filter says the same of all of them
     needed = docs.select("text").mapInArrow(sets, "print binary, for_a boolean, for_b boolean, hashes binary")
     needed = scratch.table(needed.groupBy("print").agg(*(F.first(c).alias(c) for c in ("for_a", "for_b", "hashes"))), "needed")
+    need.unpersist()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +328,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         shared = scratch.table(_shared(entries), "shared")
 
         star = shared.where((F.col("leader") != F.col("node")) & _possible(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"), percent))
-        star = scratch.table(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
+        star = scratch.table(star.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "star")
         links = scratch.table(verified(own, copies, star, width, percent, scratch).unionByName(_by_id(sets, copies, scratch)), "links")
         labels = components(links, scratch)
 
@@ -349,6 +353,28 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return scratch.table(found, "components", keep=True)
 
 
+def _maybe(gone: DataFrame, number: str):
+    """A function of a column of whole numbers: false for none that stands in ``gone``, true for few others, so only the
+    texts of rows that may go are moved."""
+    bits = min(GONE_BITS, max(16, (16 * gone.count()).bit_length()))
+
+    def slots(numbers: pa.Array) -> np.ndarray:
+        return (W.mix64(numbers.to_numpy().astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        s = slots(batch.column(0))
+        np.bitwise_or.at(table, s >> 3, (1 << (s & 7)).astype(np.uint8))
+
+    sent = gone.sparkSession.sparkContext.broadcast(fixed_table(gone.select(number), 1 << bits - 3, np.dtype(np.uint8), fill, np.bitwise_or))
+
+    @F.arrow_udf("boolean")
+    def held(numbers: pa.Array) -> pa.Array:
+        s = slots(numbers)
+        return pa.array(sent.value[s >> 3] >> (s & 7).astype(np.uint8) & 1 == 1)
+
+    return held
+
+
 def one_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORPUS_PERCENT) -> DataFrame:
     """One row of ``docs`` of each component: that of the smallest id, rows without an id last, any of rows that repeat it.
 
@@ -359,8 +385,11 @@ def one_of_group(docs: DataFrame, width: int = CORPUS_WIDTH, percent: int = CORP
     found = jaccard_components(numbered, "_node", "_row.text", width, percent).select(F.col("doc_id").alias("_member"), "component_id")
     named = found.join(numbered.select("_node", F.col("_row.doc_id").alias("_id")), F.col("_member") == F.col("_node"))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_node")).alias("_first")).select(F.col("_first._node").alias("_kept"))
-    later = found.join(first, F.col("_member") == F.col("_kept"), "left_anti").select("_member")
-    return numbered.join(later, F.col("_node") == F.col("_member"), "left_anti").select("_row.*")
+    later = through_table(found.join(first, F.col("_member") == F.col("_kept"), "left_anti").select("_member"), "later")
+    maybe = _maybe(later, "_member")
+    rows = numbered.withColumn("_maybe", maybe("_node"))
+    asked = rows.where("_maybe").join(later, F.col("_node") == F.col("_member"), "left_anti")
+    return rows.where("NOT _maybe").select("_row.*").unionByName(asked.select("_row.*"))
 
 
 def op6_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,3 +230,19 @@ def test_suffix_filter_keeps_links_of_sets_whose_cells_are_cut_off(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words[: len(words) // 2]))], "doc_id long, text string")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect()}
     assert found == {1: (len(words) - 3, 1), 2: (len(words) - 3, 1), 3: (len(words) - 3, 3), 4: (len(words) // 2 - 3, 4)}
+
+
+def test_the_set_with_fewest_changes_leads(spark):
+    """Of a bucket's sets that with least before the shingle leads, not the first row; copies of it are joined by a star."""
+    rows = [(5, 0, 1, node, 100, place) for node, place in ((1, 7), (2, 5), (3, 0), (4, 9), (5, 3))] + [(6, 0, 1, 1, 100, 0)]
+    got = jaccard._shared(spark.createDataFrame(rows, "shingle long, salt int, salts int, node long, n long, place int")).collect()
+    assert sorted(r.node for r in got) == [1, 2, 3, 4, 5]
+    assert {(r.leader, r.leader_n, r.leader_place) for r in got} == {(3, 100, 0)}
+
+
+def test_rows_that_may_go(spark):
+    """None of the rows that go is taken for one that stays, and few others for such a one, so few texts are moved."""
+    gone = spark.range(0, 3_000_000_000, 1_000_000)
+    held = jaccard._maybe(gone, "id")
+    assert gone.where(~held("id")).isEmpty()
+    assert spark.range(1, 20_001).where(held("id")).count() < 2_000
